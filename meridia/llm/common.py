@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns named in ``more`` and the text as UTF-8 bytes, null as it is.
-
-    Other columns go here, so names that clash with an operator's own do no harm.
-    """
-    return docs.select("doc_id", *more, F.col("text").cast("binary").alias("text"))
+def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, but for the last; none is empty."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import exact_dedup
+from meridia.llm import bpe, chat, exact_dedup, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_simhash": simhash.op3_simhash,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op7_bpe": bpe.op7_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
