@@ -1,15 +1,74 @@
-"""Corpus pipeline: stages over the documents table, each on all that its predecessor kept."""
+"""Corpus pipeline: stages over the documents table, each on all that its predecessor kept.
+
+``STAGES`` names them in order. Each takes (spark, docs, sf_dir) and returns the next stage's
+documents, with the columns of ``documents``; the last returns the packed pieces. ``run`` writes
+every stage's result as Parquet in the folder that the cluster shares and reads it again, so that
+a lost executor costs at most one stage.
+
+Rows without a doc_id have no identity that the two deduplicating stages could keep apart, and
+leave there; rows that repeat a doc_id count as one document from the first of them on.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridia.llm import exact_dedup, packing, quality, secrets, simhash
+from meridia.llm.common import shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    return quality.accept(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document that is kept."""
+    kept = exact_dedup.exact_groups(docs).filter("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id."""
+    groups = simhash.near_groups(docs)
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the values of secrets masked."""
+    masked = secrets.redact(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces, each with its place in a training sequence."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("secret scans", secret_stage),
+    ("best-fit packing", packing_stage),
+]
 
-STAGES: list = []
+#: Trained models and fingerprints are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
