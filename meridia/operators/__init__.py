@@ -1 +1 @@
-
+"""Relational operators of the engine: functions from DataFrames to DataFrames."""

@@ -1 +1 @@
-
+"""Readers with explicit schemas, and sinks."""
