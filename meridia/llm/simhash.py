@@ -154,8 +154,19 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def compare(threshold: int):
-    """Map function over rows sorted by cell, those at home first: links as spanning forests."""
+def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links, each node's shortest (then to the smallest other end)."""
+    x, y = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort([y, np.bitwise_count(x ^ y), x])
+    x, y = x[order], y[order]
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    return x[first], y[first]
+
+
+def compare(threshold: int, thin=forest):
+    """Map function over rows sorted by cell, those at home first: links within the threshold,
+    thinned out batch by batch to spanning forests, or to each node's closest."""
 
     def links(home: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
@@ -165,7 +176,7 @@ def compare(threshold: int):
             i, j = np.nonzero(np.bitwise_count(home[:, None] ^ some[None, :]) <= threshold)
             keep = home[i] != some[j]
             if keep.any():
-                a, b = forest(home[i[keep]], some[j[keep]])
+                a, b = thin(home[i[keep]], some[j[keep]])
                 left.append(a), right.append(b)
         return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
@@ -184,7 +195,7 @@ def compare(threshold: int):
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[cell[some]], n)
             near = (np.bitwise_count(fps[i] ^ fps[j]) <= threshold) & (fps[i] != fps[j])
             if near.any():
-                a, b = forest(fps[i[near]], fps[j[near]])
+                a, b = thin(fps[i[near]], fps[j[near]])
                 left.append(a), right.append(b)
         return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
@@ -216,8 +227,11 @@ def compare(threshold: int):
     return run_task
 
 
-def links(distinct: DataFrame, threshold: int, pieces: int, block: int) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column fp) within the threshold."""
+def links(distinct: DataFrame, threshold: int, pieces: int, block: int, limit: int | None = None, thin=forest) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (column fp) within the threshold.
+
+    With a ``limit`` above the threshold, what meets at an anchor anyway is linked up to there.
+    """
     spark = distinct.sparkSession
     at_home = distinct.mapInArrow(replicate(threshold, pieces, True), "anchor long, home boolean, fp long")
     hot = at_home.groupBy("anchor").count().filter(F.col("count") > block)
@@ -237,7 +251,7 @@ def links(distinct: DataFrame, threshold: int, pieces: int, block: int) -> DataF
     else:
         sent = sent.select("anchor", F.lit(0).alias("left"), F.lit(0).alias("right"), "home", "fp")
     cells = sent.repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", F.desc("home"))
-    return cells.mapInArrow(compare(threshold), "a long, b long")
+    return cells.mapInArrow(compare(limit or threshold, thin), "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, threshold: int = 4, pieces: int = 3, block: int = 4096) -> DataFrame:
@@ -257,5 +271,53 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: int = 4, pieces: int
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def similar(width: int, similarity: float):
+    """Map function: of pairs with both texts, those whose shingles are as similar as asked."""
+
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                p, q = shingles(x or b"", width), shingles(y or b"", width)
+                common = len(p & q)
+                keep.append(common >= similarity * (len(p) + len(q) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run_task
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, threshold: int = 11, limit: int = 14, pieces: int = 4, block: int = 4096) -> DataFrame:
+    """A row for each document with an id: doc_id, component_id (the smallest id of its group).
+
+    Groups by the Jaccard similarity of sets of ``width``-word shingles. Texts as similar as 0.8
+    have fingerprints that mostly differ in 4 to 14 bits, so candidates are all pairs within
+    ``threshold`` bits, and those up to ``limit`` that meet at an anchor. Of a batch of candidates each
+    fingerprint keeps its closest, so that candidates grow with the documents even in a group of
+    near copies; every candidate is checked on the texts, and none is linked without.
+    Documents without an id are left out.
+    """
+    own = reliable(fingerprints(docs, width).filter("doc_id IS NOT NULL"))
+    distinct = reliable(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    near = reliable(links(distinct.select("fp"), threshold, pieces, block, limit, closest).distinct())
+    end = distinct.select(F.col("fp").alias("b"), F.col("doc_id").alias("other"))
+    pairs = near.join(distinct.withColumnRenamed("fp", "a"), "a").join(end, "b").select("doc_id", "other")
+    equal = own.join(distinct.withColumnRenamed("doc_id", "other"), "fp").select("doc_id", "other")
+    pairs = pairs.unionByName(equal).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).filter("a < b").distinct()
+    pairs = reliable(pairs)
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).dropDuplicates(["id"])
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = reliable(texts.join(wanted, "id", "left_semi"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    linked = both.select("a", "b", "x", "y").mapInArrow(similar(width, similarity), "a long, b long")
+    roots = components(linked).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    ids = own.select("doc_id").distinct()
+    return ids.join(roots, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=4)
