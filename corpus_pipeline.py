@@ -35,8 +35,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    groups = simhash.near_groups(docs)
+    """Of each group of near duplicates (shingles of five words, similarity 0.8 or more), the
+    document with the smallest id."""
+    groups = simhash.similar_groups(docs)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 
