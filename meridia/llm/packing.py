@@ -23,15 +23,18 @@ other than doc_id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridia.llm.bpe import byte_symbols
 from meridia.llm.common import bounded_batches, documents, reliable
 
 CAPACITY = 4096
@@ -48,12 +51,15 @@ class Words:
     """Token ids by a vocabulary that treats each stretch between white space by itself.
 
     The normalizer composes (NFC), lower-cases and turns white space into spaces, and no token
-    spans white space, so a text's ids are its stretches' ids one after the other. The library
-    encodes each distinct stretch once. Texts for which that does not hold to the letter (special
-    tokens, and characters that the library and Python may split or lower-case differently) go
-    to the library whole.
+    spans white space, so a text's ids are its stretches' ids one after the other, and a
+    stretch's those of its pieces. The library's model encodes each distinct piece once. Texts
+    for which that does not hold to the letter (special tokens, and characters that the library
+    and Python may split or lower-case differently) go to the library whole.
     """
 
+    #: How the vocabulary cuts a stretch (a fixed value).
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -61,7 +67,16 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.model = self.library.model
+        self.symbols = {byte: symbol for symbol, byte in byte_symbols().items()}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece, by the library's model on its bytes' stand-ins."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
+        ids = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,15 +97,11 @@ class Words:
         split = [None if self.odd(t, low := t.lower()) else low.split() for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        if new:
-            found = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(new) + 1))
-            raw = ids.tobytes()
-            for w, a, b in zip(new, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                known[w] = raw[4 * a : 4 * b]
+        if len(self.pieces) > KNOWN_WORDS:
+            self.pieces.clear()
+        known, pieces, find = self.known, self.pieces, self.PIECE.findall
+        for w in {w for words in split if words for w in words if w not in known}:
+            known[w] = b"".join([pieces[p] if p in pieces else self.piece(p) for p in find(w)])
         return [self.whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
 
 
