@@ -49,6 +49,35 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Alphabet:
+    """Cuts stretches into pieces, with letters and numbers as the vocabulary's library has them.
+
+    The regex module may know a later Unicode. Characters that the two class differently are
+    replaced, while the pieces are found, by one that both class like the library does.
+    """
+
+    def __init__(self):
+        from tokenizers import Regex, pre_tokenizers
+
+        self.kinds = [("a", pre_tokenizers.Split(Regex(r"\p{L}"), "removed", invert=True)), ("1", pre_tokenizers.Split(Regex(r"\p{N}"), "removed", invert=True))]
+        self.stand_in: dict[str, str] = {}
+
+    def of(self, c: str) -> str:
+        if c not in self.stand_in:
+            kind = next((k for k, split in self.kinds if split.pre_tokenize_str(c)), "!")
+            own = "a" if regex.match(r"\p{L}", c) else "1" if regex.match(r"\p{N}", c) else "!"
+            self.stand_in[c] = c if kind == own else kind
+        return self.stand_in[c]
+
+    def pieces(self, stretch: str) -> list[str]:
+        if stretch.isascii() or max(stretch) < "\u0530":  # older than any difference
+            return PIECE.findall(stretch)
+        shadow = "".join([c if c < "\u0530" else self.of(c) for c in stretch])
+        if shadow == stretch:
+            return PIECE.findall(stretch)
+        return [stretch[m.start() : m.end()] for m in PIECE.finditer(shadow)]
+
+
 class Merges:
     """A vocabulary's merges, ready for lookups by arrays of pairs."""
 
@@ -165,7 +194,7 @@ class Codec:
     """Encodes and decodes, with what a worker remembers."""
 
     def __init__(self, path: str):
-        self.merges = Merges(path)
+        self.merges, self.alphabet = Merges(path), Alphabet()
         added = sorted(self.merges.added, key=len, reverse=True)
         self.split_added = regex.compile("|".join(map(regex.escape, added))) if added else None
         #: By stretch: its ids as numbers joined by commas, how many, and the bytes they stand for.
@@ -185,7 +214,7 @@ class Codec:
 
     def learn(self, new: set[str]) -> None:
         """Encode stretches that are not known yet, all their pieces by one index."""
-        of = {s: PIECE.findall(s) for s in new if s not in self.merges.added}
+        of = {s: self.alphabet.pieces(s) for s in new if s not in self.merges.added}
         pieces = list({p for own in of.values() for p in own})
         if pieces:
             index = PairIndex(self.merges, [p.encode() for p in pieces])

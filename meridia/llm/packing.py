@@ -81,7 +81,7 @@ class Words:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def odd(self, text: str, low: str) -> bool:
+    def odd(self, text: str, low: str, words: list[str]) -> bool:
         """Whether Python's white space, lower case or composition may differ from the library's."""
         if "<|" in text and any(s in text for s in self.special):
             return True
@@ -90,11 +90,15 @@ class Words:
         if text.isascii():
             return False
         composed = unicodedata.is_normalized
-        return "\u0130" in text or "\u03a3" in text or not (composed("NFC", text) and composed("NFC", low))
+        # What doesn't print may be a character that only one of the two knows.
+        return "\u0130" in text or "\u03a3" in text or not ("".join(words).isprintable() and composed("NFC", text) and composed("NFC", low))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [None if self.odd(t, low := t.lower()) else low.split() for t in texts]
+        split = []
+        for t in texts:
+            words = (low := t.lower()).split()
+            split.append(None if self.odd(t, low, words) else words)
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         if len(self.pieces) > KNOWN_WORDS:
