@@ -279,6 +279,16 @@ def wait_mixed(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: S.rounded(c, 6) for c in ("sync_share", "wait_mixed_minutes")})
 
 
+@query(f"""
+WITH {WAITS}, v AS (SELECT median_wait_minutes AS x FROM waits WHERE median_wait_minutes IS NOT NULL)
+SELECT count(*) AS n, list_sort(list(x))[count(*) // 2 + 1] AS upper_median, max(x) AS longest, min(x) AS shortest FROM v
+""")
+def wait_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The figures that are reported after waits have been made."""
+    x = "median_wait_minutes"
+    return headways(spark, d).filter(F.col(x).isNotNull()).agg(F.count(F.lit(1)).alias("n"), S.upper_median(x).alias("upper_median"), F.max(x).alias("longest"), F.min(x).alias("shortest"))
+
+
 # -- exposure
 
 
@@ -349,6 +359,16 @@ def heat_risk(spark: SparkSession, d: str) -> DataFrame:
     return exposure.heat_risk(measured(spark, d), risk_sensitivity(spark, d), trees)
 
 
+@query(f"""
+WITH {MEASURED}
+SELECT count(*) AS hours, CAST(sum(CASE WHEN exposed THEN 1 ELSE 0 END) AS BIGINT) AS exposed_hours, {round_sql('avg(CASE WHEN exposed THEN 1.0 ELSE 0.0 END)', 6)} AS share, max(hour) AS last_hour FROM m
+""")
+def exposure_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many hours are exposed, and their share."""
+    n = F.count(F.lit(1))
+    return measured(spark, d).agg(n.alias("hours"), F.count_if("exposed").alias("exposed_hours"), S.rounded(F.count_if("exposed").cast("double") / n, 6).alias("share"), F.max("hour").alias("last_hour"))
+
+
 # -- places
 
 
@@ -400,6 +420,22 @@ def tree_counts(spark: SparkSession, d: str) -> DataFrame:
     return spatial.count_near(table(spark, d, "supplier").select(k.alias("id"), lat_of(k).alias("lat"), lon_of(k).alias("lon")), trees, P.tree_metres)
 
 
+@query(f"""
+WITH s AS (SELECT s_suppkey AS id, {lat_sql('s_suppkey')} AS lat, {lon_sql('s_suppkey')} AS lon FROM supplier),
+t AS (SELECT c_custkey AS cand, {lat_sql('c_custkey')} + CAST((c_custkey * 13) % 500 AS DOUBLE) * 1e-6 AS lat, {lon_sql('c_custkey')} AS lon FROM customer),
+p AS (SELECT id, cand, {apart_sql('s', 't')} AS m FROM s JOIN t ON abs(s.lat - t.lat) < 0.01 AND {apart_sql('s', 't')} <= 400)
+SELECT id, cand AS candidate, {round_sql('m', 6)} AS metres_apart, CAST(row_number() OVER w AS INTEGER) AS place FROM p
+WINDOW w AS (PARTITION BY id ORDER BY m, cand) QUALIFY row_number() OVER w <= 3
+""")
+def nearest_three(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest customers within 400 m of each supplier, in order."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    a = table(spark, d, "supplier").select(k.alias("id"), lat_of(k).alias("lat"), lon_of(k).alias("lon"))
+    b = table(spark, d, "customer").select(c.alias("candidate"), (lat_of(c) + ((c * 13) % 500).cast("double") * F.lit(1e-6)).alias("lat"), lon_of(c).alias("lon"))
+    pairs = spatial.within(a, b, 400.0).select("a.id", "b.candidate", "metres_apart")
+    return spatial.ranked_nearest(pairs, "id", "candidate", 3).withColumn("metres_apart", S.rounded("metres_apart", 6))
+
+
 def map_trees(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     trees = table(spark, d, "part").select(k.alias("tree_id"), F.col("p_brand").alias("genus"), F.col("p_type").alias("species"), F.col("p_size").cast("double").alias("height_m"), (k % 70).cast("double").alias("crown2"), lon_of(k).alias("lon"), lat_of(k).alias("lat"))

@@ -51,6 +51,11 @@ def days_between(start: Column | str, end: Column | str) -> Column:
     return F.when(a <= b, F.sequence(a, b, F.expr("interval 1 day")))
 
 
+def solar_to_summer(time: Column | str) -> Column:
+    """A station's solar time (an hour ahead of UTC all year) as summer time."""
+    return col(time) + F.expr("interval 1 hour")
+
+
 # -- times of day that may pass 24 hours
 
 
@@ -114,6 +119,11 @@ def valid_tree(height: Column | str, crown: Column | str, lon: Column | str, lat
     return F.coalesce(sound, F.lit(False))
 
 
+def upper_median(name: str) -> Column:
+    """Aggregate: the middle value of a column, or the higher one of two in the middle."""
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{name}`)")
+
+
 def by_hour(hour: Column | str, value: Column | str, p: Params = DEFAULTS) -> Column:
     """Aggregate: the values of the studied hours as an array, null where there is none."""
     found = F.map_from_entries(F.collect_list(F.struct(col(hour).cast("int"), col(value))))

@@ -94,3 +94,12 @@ def test_elevations_of_the_study_day(spark):
 def test_values_by_hour(spark):
     df = spark.createDataFrame([("a", 13, 1.0), ("a", 15, 2.0)], "k string, hour int, v double")
     assert df.groupBy("k").agg(S.by_hour("hour", "v").alias("v")).first().v == [1.0, None, 2.0, None, None, None, None]
+
+
+def test_upper_median(spark):
+    for values, want in (([1.0, 2.0, 3.0, 4.0], 3.0), ([5.0, 1.0, 2.0], 2.0)):
+        assert spark.createDataFrame([(v,) for v in values], "v double").agg(S.upper_median("v").alias("m")).first().m == want
+
+
+def test_solar_time(spark):
+    assert value(spark, S.solar_to_summer(lit("2026-06-28 12:30:00").cast("timestamp"))) == dt.datetime(2026, 6, 28, 13, 30)
