@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from meridia.llm.common import bounded_batches, documents, larger
 
 #: White space, as the vocabulary's pattern has it.
-SPACE = r"\t-\r \x85\xa0  -     　"
-STRETCH = regex.compile(f"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+STRETCH = re.compile(f"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Stretches that a worker remembers, and rows whose texts are encoded together.
 KNOWN_STRETCHES = 300_000
@@ -183,11 +184,12 @@ class PairIndex:
         start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         return at[(np.arange(len(at)) - start) % 2 == 0]
 
-    def ids(self) -> list[np.ndarray]:
+    def ids(self) -> list[list[int]]:
         """The ids of each piece."""
         kept = np.flatnonzero(self.symbol[: self.none] >= 0)
-        cuts = np.searchsorted(kept, self.ends[:-1])
-        return np.split(self.symbol[kept], cuts)
+        cuts = [0, *np.searchsorted(kept, self.ends).tolist()]
+        ids = self.symbol[kept].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Codec:
@@ -199,6 +201,7 @@ class Codec:
         self.split_added = regex.compile("|".join(map(regex.escape, added))) if added else None
         #: By stretch: its ids as numbers joined by commas, how many, and the bytes they stand for.
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.pieces: dict[str, tuple[str, int, bytes]] = {}
 
     def entry(self, ids: list[int]) -> tuple[str, int, bytes]:
         return ",".join(map(str, ids)), len(ids), b"".join([self.merges.bytes_of[i] for i in ids])
@@ -215,17 +218,21 @@ class Codec:
     def learn(self, new: set[str]) -> None:
         """Encode stretches that are not known yet, all their pieces by one index."""
         of = {s: self.alphabet.pieces(s) for s in new if s not in self.merges.added}
-        pieces = list({p for own in of.values() for p in own})
+        if len(self.pieces) > KNOWN_STRETCHES:
+            self.pieces.clear()
+        entries = self.pieces
+        pieces = list({p for own in of.values() for p in own if p not in entries})
         if pieces:
             index = PairIndex(self.merges, [p.encode() for p in pieces])
             index.apply()
-            entries = {p: self.entry(ids.tolist()) for p, ids in zip(pieces, index.ids(), strict=True)}
-            for s, own in of.items():
-                if len(own) == 1:
-                    self.known[s] = entries[own[0]]
-                else:
-                    parts = [entries[p] for p in own]
-                    self.known[s] = ",".join([x[0] for x in parts]), sum(x[1] for x in parts), b"".join([x[2] for x in parts])
+            for p, ids in zip(pieces, index.ids(), strict=True):
+                entries[p] = self.entry(ids)
+        for s, own in of.items():
+            if len(own) == 1:
+                self.known[s] = entries[own[0]]
+            else:
+                parts = [entries[p] for p in own]
+                self.known[s] = ",".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts])
         for s in new & self.merges.added.keys():
             self.known[s] = self.entry([self.merges.added[s]])
 
