@@ -64,26 +64,23 @@ class Template:
     def encode(self, text: str) -> list[int]:
         return self.vocabulary.encode_ordinary(text)
 
-    def text(self, ids: list[int]) -> str:
+    def text(self, ids: np.ndarray) -> str:
         """Ids as text, marks included."""
-        out, run = [], []
-        for i in ids:
-            if i in self.marks:
-                out += [self.vocabulary.decode(run), self.marks[i]]
-                run = []
-            else:
-                run.append(i)
-        return "".join([*out, self.vocabulary.decode(run)])
+        out, at = [], 0
+        for i in np.flatnonzero(ids >= self.turn).tolist():
+            out += [self.vocabulary.decode(ids[at:i].tolist()), self.marks[int(ids[i])]]
+            at = i + 1
+        return "".join([*out, self.vocabulary.decode(ids[at:].tolist())])
 
     def segment(self, role: str, text: str) -> tuple[list[int], int, int]:
         """A turn's ids, and how many of them are its role's and its text's."""
         a, b = self.encode(escape(role)), self.encode(escape(text))
         return [self.turn, *a, self.content, *b, self.end], len(a), len(b)
 
-    def read(self, ids: list[int]) -> tuple[str, str]:
-        """Role and text of one turn's ids."""
-        at = ids.index(self.content)
-        return unescape(self.vocabulary.decode(ids[1:at])), unescape(self.vocabulary.decode(ids[at + 1 : -1]))
+    def read(self, ids: np.ndarray) -> tuple[str, str]:
+        """Role and text of one turn's ids, still escaped."""
+        at = int(np.argmax(ids == self.content))
+        return self.vocabulary.decode(ids[1:at].tolist()), self.vocabulary.decode(ids[at + 1 : -1].tolist())
 
 
 _templates: dict[tuple[str, str], Template] = {}
@@ -170,18 +167,24 @@ def read_back(path: str, pattern: str):
             )
 
         for batch in batches:
-            for c, ids, mask in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "ids", "loss_mask")), strict=True):
+            ids, mask = batch.column("ids"), batch.column("loss_mask")
+            ends = ids.offsets.to_pylist()
+            every, learnt = ids.values.to_numpy(), mask.values.to_numpy(zero_copy_only=False)
+            shift = mask.offsets[0].as_py() - ends[0]
+            for c, a, b in zip(batch.column("conv_id").to_pylist(), ends, ends[1:], strict=False):
                 if state is None or c != conv:
                     if state is not None:
                         yield result()
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = own.read(ids)
+                own_ids, masked = every[a:b], learnt[a + shift : b + shift]
+                role, text = own.read(own_ids)
                 state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                learnt = unescape(own.text([i for i, m in zip(ids, mask, strict=True) if m]))
-                state[2] += len(learnt)
-                state[3].update(learnt.encode())
-                state[4] += len(own.text(ids))
+                state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+                if masked.any():
+                    loss = unescape(own.text(own_ids[masked]))
+                    state[2] += len(loss)
+                    state[3].update(loss.encode())
+                state[4] += len(own.text(own_ids))
         if state is not None:
             yield result()
 

@@ -150,7 +150,8 @@ def test_escapes_are_reversible(text):
     own = chat.template(*CHAT)
     ids, _, _ = own.segment("user", text)
     assert [i for i in ids if i in own.marks] == [own.turn, own.content, own.end]
-    assert own.read(ids) == ("user", text)
+    role, said = own.read(np.array(ids))
+    assert (role, chat.unescape(said)) == ("user", text)
 
 
 def test_chat_digests(spark):
