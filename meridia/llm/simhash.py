@@ -39,6 +39,8 @@ SEED = 42
 VOTES = 1 << 16
 #: Comparisons made at once.
 PAIRS = 1 << 21
+#: Bits of the filter for candidates' texts (4 MB).
+FILTER_BITS = 1 << 25
 #: Rows of cells that are looked at together.
 CELL_ROWS = 1 << 16
 
@@ -80,7 +82,7 @@ class Cover:
     """The covering code of one range of bits: Hamming words on its low bits, the rest free."""
 
     def __init__(self, first: int, bits: int, share: int):
-        self.first, self.bits = np.uint64(first), bits
+        self.first, self.bits, self.share = np.uint64(first), bits, share
         order = max(r for r in range(1, 7) if 2**r - 1 <= min(bits, 15))
         self.low = 2**order - 1
         value = np.arange(2**self.low)
@@ -155,49 +157,58 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links, each node's shortest (then to the smallest other end)."""
+    """Of links, each node's shortest to a smaller and to a larger node (as signed numbers)."""
     x, y = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.lexsort([y, np.bitwise_count(x ^ y), x])
-    x, y = x[order], y[order]
+    larger = y.view(np.int64) > x.view(np.int64)
+    order = np.lexsort([y.view(np.int64), np.bitwise_count(x ^ y), larger, x])
+    x, y, larger = x[order], y[order], larger[order]
     first = np.ones(len(x), bool)
-    first[1:] = x[1:] != x[:-1]
+    first[1:] = (x[1:] != x[:-1]) | (larger[1:] != larger[:-1])
     return x[first], y[first]
 
 
-def compare(threshold: int, thin=forest):
+def compare(threshold: int, codes: list[Cover], thin=forest):
     """Map function over rows sorted by cell, those at home first: links within the threshold,
-    thinned out batch by batch to spanning forests, or to each node's closest."""
+    thinned out batch by batch to spanning forests, or to each node's closest.
 
-    def links(home: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    Two fingerprints that are close in several ranges of bits meet in each; only the first such
+    range counts.
+    """
+
+    def near(x: np.ndarray, y: np.ndarray, piece: int) -> np.ndarray:
+        differ = x ^ y
+        out = (np.bitwise_count(differ) <= threshold) & (differ != 0)
+        for code in codes[:piece]:
+            out &= np.bitwise_count(code.values(differ)) > code.share
+        return out
+
+    def links(home: np.ndarray, fps: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
         step = max(1, PAIRS // max(1, len(home)))
         for at in range(0, len(fps), step):
             some = fps[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(home[:, None] ^ some[None, :]) <= threshold)
-            keep = home[i] != some[j]
-            if keep.any():
-                a, b = thin(home[i[keep]], some[j[keep]])
+            i, j = np.nonzero(near(home[:, None], some[None, :], piece))
+            if len(i):
+                a, b = thin(home[i], some[j])
                 left.append(a), right.append(b)
         return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
-    def small_cells(home: np.ndarray, fps: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def small_cells(home: np.ndarray, fps: np.ndarray, bounds: np.ndarray, pieces: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All cells of a batch at once: each one at home against all of its cell."""
         cell = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         at = np.flatnonzero(home)
-        size = np.diff(bounds)[cell[at]]
-        left, right = [], []
-        cuts = np.searchsorted(np.cumsum(size), np.arange(PAIRS, size.sum() + PAIRS, PAIRS))
-        for some in np.split(at, np.unique(cuts + 1)):
-            n = np.diff(bounds)[cell[some]]
-            if not n.sum():
-                continue
-            i = np.repeat(some, n)
-            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[cell[some]], n)
-            near = (np.bitwise_count(fps[i] ^ fps[j]) <= threshold) & (fps[i] != fps[j])
-            if near.any():
-                a, b = thin(fps[i[near]], fps[j[near]])
-                left.append(a), right.append(b)
-        return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
+        for piece in np.unique(pieces):
+            mine = at[pieces[cell[at]] == piece]
+            size = np.diff(bounds)[cell[mine]]
+            cuts = np.searchsorted(np.cumsum(size), np.arange(PAIRS, size.sum() + PAIRS, PAIRS))
+            for some in np.split(mine, np.unique(cuts + 1)):
+                n = np.diff(bounds)[cell[some]]
+                if n.sum():
+                    i = np.repeat(some, n)
+                    j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[cell[some]], n)
+                    close = near(fps[i], fps[j], int(piece))
+                    if close.any():
+                        yield thin(fps[i[close]], fps[j[close]])
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -213,9 +224,9 @@ def compare(threshold: int, thin=forest):
             if last is not None and (cell[0] == last).all():
                 first = slice(0, bounds[1])
                 mine = np.concatenate([at_home, fps[first][home[first]]])
-                found.append(links(mine, fps[first]))
+                found.append(links(mine, fps[first], int(cell[0, 0] >> 56)))
             if len(bounds) > 2 or last is None or (cell[0] != last).any():
-                found.append(small_cells(home, fps, bounds))
+                found += small_cells(home, fps, bounds, cell[bounds[:-1], 0] >> 56)
             for a, b in found:
                 if len(a):
                     yield out(a, b)
@@ -251,7 +262,7 @@ def links(distinct: DataFrame, threshold: int, pieces: int, block: int, limit: i
     else:
         sent = sent.select("anchor", F.lit(0).alias("left"), F.lit(0).alias("right"), "home", "fp")
     cells = sent.repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", F.desc("home"))
-    return cells.mapInArrow(compare(limit or threshold, thin), "a long, b long")
+    return cells.mapInArrow(compare(limit or threshold, covers(threshold, pieces), thin), "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, threshold: int = 4, pieces: int = 3, block: int = 4096) -> DataFrame:
@@ -276,6 +287,35 @@ def shingles(text: bytes, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
+def may_hold(bits):
+    """Map function: rows whose ``place`` is set in a bitmap."""
+
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            at = batch.column("place").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((held[at >> 3] >> (at & 7) & 1).astype(bool))).select(["id", "t"])
+
+    return run_task
+
+
+def among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (id, t) of ``texts`` with a wanted id, without a shuffle of the other texts.
+
+    A bitmap of FILTER_BITS over hashed ids goes out first, whatever the number of ids; what it
+    lets through is joined. A full bitmap costs a larger shuffle and loses nothing.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    # The built-in bitmaps count from 1: position 0 of bucket 1 is value 1.
+    own = wanted.select((place + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    held = bytearray(FILTER_BITS // 8)
+    for r in own.toLocalIterator():
+        held[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+    shared = texts.sparkSession.sparkContext.broadcast(bytes(held))
+    some = texts.withColumn("place", place).mapInArrow(may_hold(shared), "id long, t binary")
+    return some.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
 def similar(width: int, similarity: float):
     """Map function: of pairs with both texts, those whose shingles are as similar as asked."""
 
@@ -296,22 +336,24 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, thr
 
     Groups by the Jaccard similarity of sets of ``width``-word shingles. Texts as similar as 0.8
     have fingerprints that mostly differ in 4 to 14 bits, so candidates are all pairs within
-    ``threshold`` bits, and those up to ``limit`` that meet at an anchor. Of a batch of candidates each
-    fingerprint keeps its closest, so that candidates grow with the documents even in a group of
-    near copies; every candidate is checked on the texts, and none is linked without.
+    ``threshold`` bits, and those up to ``limit`` that meet at an anchor. Each fingerprint keeps its
+    closest smaller and its closest larger one, so that candidates grow with the documents even in
+    a group of near copies; every candidate is checked on the texts, and none is linked without.
     Documents without an id are left out.
     """
     own = reliable(fingerprints(docs, width).filter("doc_id IS NOT NULL"))
     distinct = reliable(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    near = reliable(links(distinct.select("fp"), threshold, pieces, block, limit, closest).distinct())
+    met = links(distinct.select("fp"), threshold, pieces, block, limit, closest)
+    shortest = F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "b")).alias("m")
+    near = reliable(met.groupBy("a", (F.col("b") > F.col("a")).alias("up")).agg(shortest).select("a", F.col("m.b").alias("b")))
     end = distinct.select(F.col("fp").alias("b"), F.col("doc_id").alias("other"))
     pairs = near.join(distinct.withColumnRenamed("fp", "a"), "a").join(end, "b").select("doc_id", "other")
     equal = own.join(distinct.withColumnRenamed("doc_id", "other"), "fp").select("doc_id", "other")
     pairs = pairs.unionByName(equal).select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).filter("a < b").distinct()
     pairs = reliable(pairs)
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).dropDuplicates(["id"])
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = reliable(texts.join(wanted, "id", "left_semi"))
+    texts = reliable(among(texts, wanted))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
     linked = both.select("a", "b", "x", "y").mapInArrow(similar(width, similarity), "a long, b long")
     roots = components(linked).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
