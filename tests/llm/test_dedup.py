@@ -148,3 +148,45 @@ def test_similar_groups(spark, odd, no_documents):
     got = dict(map(tuple, simhash.similar_groups(odd).collect()))
     assert got[3] == 1 and got[9] == 8 and got[5] == 4 and None not in got
     assert simhash.similar_groups(no_documents).count() == 0
+
+
+def brute_similar(rows, similarity=0.8, width=5):
+    """doc_id to the smallest id of its group, by all pairs that share a shingle."""
+    sets = {i: simhash.shingles((t or "").encode(), width) for i, t in rows}
+    having, root = defaultdict(list), {i: i for i in sets}
+    for i in sorted(sets):
+        for h in sets[i]:
+            having[h].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in {(a, b) for ids in having.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}:
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in sets}
+
+
+def near_copies(seed, families=12, size=14, length=120):
+    """Texts that lose or change some words of another of their family: similarities on both sides of 0.8."""
+    rng, out = np.random.default_rng(seed), []
+    for f in range(families):
+        family = [[f"f{f}w{i}" for i in range(length)]]
+        for _ in range(size):
+            w = list(family[rng.integers(len(family))])
+            for at in rng.choice(len(w), rng.integers(1, 5), replace=False):
+                w[at] = f"x{rng.integers(1 << 30)}"
+            family.append(w)
+        out += family
+    order = rng.permutation(len(out))
+    return [(int(i), " ".join(out[i])) for i in order]
+
+
+def test_similar_groups_have_all_links(spark):
+    """Partners that are not the closest ones, and bridges between groups, link as well."""
+    for rows in (near_copies(1), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        assert dict(map(tuple, simhash.similar_groups(frame).collect())) == brute_similar(rows)
