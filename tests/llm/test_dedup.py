@@ -190,3 +190,14 @@ def test_similar_groups_have_all_links(spark):
     for rows in (near_copies(1), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]):
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         assert dict(map(tuple, simhash.similar_groups(frame).collect())) == brute_similar(rows)
+
+
+def test_similar_groups_of_repeated_lines(spark):
+    """The shingles are a set: how often a line repeats doesn't part two texts."""
+    line = "this very line of nine words repeats and repeats "
+    rows = []
+    for k in range(6):
+        body = " ".join(f"b{k}w{i}" for i in range(200))
+        rows += [(10 * k + j, f"{body} {line * n}") for j, n in enumerate((2, 10, 20, 40))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(map(tuple, simhash.similar_groups(frame).collect())) == {i: i - i % 10 for i, _ in rows}
