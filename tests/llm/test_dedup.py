@@ -201,3 +201,13 @@ def test_similar_groups_of_repeated_lines(spark):
         rows += [(10 * k + j, f"{body} {line * n}") for j, n in enumerate((2, 10, 20, 40))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert dict(map(tuple, simhash.similar_groups(frame).collect())) == {i: i - i % 10 for i, _ in rows}
+
+
+def test_similar_groups_behind_one_fingerprint(spark):
+    """Unlike texts that one line gives the same fingerprint don't hide each other's near copies."""
+    line = "this very line of nine words repeats and repeats " * 100
+    body = [" ".join(f"b{k}w{i}" for i in range(60)) for k in (0, 1)]
+    rows = [(1, f"{body[0]} {line}"), (2, f"{body[1]} {line}"), (3, f"{body[1]} end {line}")]
+    assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows}) == 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(map(tuple, simhash.similar_groups(frame).collect())) == {1: 1, 2: 2, 3: 2}
