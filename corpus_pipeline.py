@@ -5,8 +5,8 @@ documents, with the columns of ``documents``; the last returns the packed pieces
 every stage's result as Parquet in the folder that the cluster shares and reads it again, so that
 a lost executor costs at most one stage.
 
-Rows without a doc_id have no identity that the two deduplicating stages could keep apart, and
-leave there; rows that repeat a doc_id count as one document from the first of them on.
+The two deduplicating stages tell rows apart by their texts as well, so that rows without a doc_id
+or with a repeated one stay unless they duplicate another's text.
 """
 
 from __future__ import annotations
@@ -29,17 +29,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document that is kept."""
-    kept = exact_dedup.exact_groups(docs).filter("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of equal texts, the row that is kept."""
+    return exact_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (shingles of five words, similarity 0.8 or more), the
-    document with the smallest id."""
-    groups = simhash.similar_groups(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    row with the smallest id."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

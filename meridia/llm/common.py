@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts can be very long, so Spark's default of 10,000 is too many.
@@ -47,6 +47,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def chosen(docs: DataFrame, kept: DataFrame, key: str, best: Column) -> DataFrame:
+    """One row of ``docs`` (all columns but ``key``) for each row (doc_id, key) of ``kept``, null ids
+    included: of several with that doc_id and key, the one that has the largest ``best``."""
+    columns = [c for c in docs.columns if c != key]
+    same = F.xxhash64(key, "doc_id")  # rows of one key are dealt by their ids as well
+    left = docs.withColumn("_same", same)
+    right = kept.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key"), same.alias("_same"))
+    rows = left.join(right, "_same").filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")))
+    one = rows.groupBy("_same", "_id", "_key").agg(F.max_by(F.struct(*columns), best).alias("_row"))
+    return one.select("_row.*")
+
+
 def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least so many, but for the last; none is empty."""
     held, n = [], 0

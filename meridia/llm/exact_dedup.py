@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import bounded_batches, documents, parts, reliable
+from meridia.llm.common import bounded_batches, chosen, documents, parts, reliable
 
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = np.iinfo(np.int64).max
@@ -272,6 +272,25 @@ def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int
     )
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """All rows and columns, and text_sha256 as ``exact_groups`` has it."""
+    bounded_batches(docs.sparkSession)
+
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shas = [hashlib.sha256((t or "").encode().translate(None, SPACES)).hexdigest() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.string())], names=[*batch.schema.names, "text_sha256"])
+
+    return docs.mapInArrow(run_task, docs.withColumn("text_sha256", F.lit("")).schema)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of equal texts, the row that ``exact_groups`` keeps, all columns; null and repeated ids included."""
+    kept = exact_groups(docs).filter("kept").select("keep_id", "text_sha256").distinct()
+    best = F.struct(F.coalesce(F.length("text"), F.lit(0)), "text")
+    return chosen(hashed(docs), kept.withColumnRenamed("keep_id", "doc_id"), "text_sha256", best)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 

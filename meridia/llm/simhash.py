@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import bounded_batches, documents, larger, reliable
+from meridia.llm.common import bounded_batches, chosen, documents, larger, reliable
 from meridia.llm.graph import components
 
 SEED = 42
@@ -556,5 +556,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     return own.join(least, "root").select("doc_id", "component_id")
 
 
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """Of each group the row with the smallest doc_id, all columns. A null orders after every id;
+    of rows with one id and one set of shingles, the largest text by its bytes stays."""
+    own, classes = similar_classes(docs, similarity, width)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")).alias("m")
+    kept = own.join(classes, "set_key").groupBy("root").agg(first).select("m.doc_id", "m.set_key")
+    return chosen(keyed(docs, width), kept, "set_key", F.struct("text"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=4)

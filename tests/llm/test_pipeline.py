@@ -49,3 +49,16 @@ def test_odd_documents(spark, odd, no_documents):
 def test_run(spark):
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_rows_of_missing_and_repeated_ids_stay(spark):
+    """Both deduplicating stages leave one row of each text, whatever its id."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (4, texts[4]), (5, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    want = sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (4, texts[4]), (5, texts[5])], key=str)
+    for name in ("exact dedup", "SimHash near-dedup"):
+        out = stages[name](spark, docs, FOLDER)
+        assert out.columns == list(pipeline.COLUMNS)
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
