@@ -180,3 +180,17 @@ def test_linear_models():
     separable = linear.logistic(x, (x[:, 0] > 0).astype(float), l2=1.0)
     assert np.isfinite(separable).all() and np.mean((linear.predict(x, separable) > 0.5) == (x[:, 0] > 0)) > 0.97
     assert len(linear.out_of_fold(x, y)) == 400
+
+
+@pytest.mark.parametrize(("folder", "least"), [("sf0.01", {"en": 0.4}), ("sf0.1", {"de": 0.8, "en": 0.8, "es": 0.8, "fr": 0.8})])
+def test_toxicity_by_language(spark, folder, least):
+    """Held-out recall of each language with labels enough, whatever the number of labelled rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    chain = toxicity.fit(docs, labels.filter(half == 0))
+    held_out = labels.filter((half == 1) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    rows = toxicity.score(docs, chain).join(docs.select("doc_id", "lang"), "doc_id").join(held_out, "doc_id").collect()
+    for lang, recall in least.items():
+        flags = [r.toxic >= 0.5 for r in rows if r.y and r.lang == lang]
+        assert sum(flags) >= recall * len(flags)
+    assert sum(r.toxic >= 0.5 for r in rows if not r.y) <= 0.01 * len(rows)
