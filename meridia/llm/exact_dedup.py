@@ -6,7 +6,8 @@ levelled index: where two runs of a level meet, they are compacted, the filter o
 telling which digests of the other have to be looked up at all, and of equal digests the
 smallest identifier (the row to keep) stays. Digests found in two rows or more are hits; the
 texts of hits are read once more and grouped by their bytes, so that a collision of digests
-never joins two texts.
+never joins two texts. That grouping gives keep_id and group_size; of the index only the filters
+over its hits are used.
 
 Hot groups: copies collapse in the memtable and again in each compaction, and the grouping by
 bytes is combined before its shuffle, so that a third of all rows in one group is a few
