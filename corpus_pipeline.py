@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import exact_dedup, packing, quality, secrets, simhash
+from meridia.llm import exact_dedup, near_sets, packing, quality, secrets
 from meridia.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,7 +36,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (shingles of five words, similarity 0.8 or more), the
     row with the smallest id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    return near_sets.one_of_each(docs.select(*COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

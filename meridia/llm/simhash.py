@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import bounded_batches, chosen, documents, larger, reliable
+from meridia.llm.common import bounded_batches, documents, larger, reliable
 from meridia.llm.graph import components
 
 SEED = 42
@@ -39,21 +39,8 @@ SEED = 42
 VOTES = 1 << 16
 #: Comparisons made at once.
 PAIRS = 1 << 21
-#: Bits of the filter for candidates' texts (4 MB).
-FILTER_BITS = 1 << 25
 #: Rows of cells that are looked at together.
 CELL_ROWS = 1 << 16
-#: Texts whose shingles are counted for an order by frequency, and frequent ones that go to the driver.
-ORDER_ROWS = 5_000
-ORDER_SHINGLES = 100_000
-#: Sets that a task remembers, to send each once.
-SEEN_KEYS = 1 << 18
-#: Members of a cell up to which each is held against every other's length and place.
-WHOLE_CELL = 2048
-#: Rounds in which a cell's sets are held against one of them.
-TURNS = 3
-#: For rounding: what a bound on members is lowered by.
-SLACK = 1e-6
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -167,9 +154,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def compare(threshold: int, codes: list[Cover], thin=forest):
+def compare(threshold: int, codes: list[Cover]):
     """Map function over rows sorted by cell, those at home first: links within the threshold,
-    thinned out batch by batch to spanning forests, or to each node's closest.
+    thinned out batch by batch to spanning forests.
 
     Two fingerprints that are close in several ranges of bits meet in each; only the first such
     range counts.
@@ -189,7 +176,7 @@ def compare(threshold: int, codes: list[Cover], thin=forest):
             some = fps[at : at + step]
             i, j = np.nonzero(near(home[:, None], some[None, :], piece))
             if len(i):
-                a, b = thin(home[i], some[j])
+                a, b = forest(home[i], some[j])
                 left.append(a), right.append(b)
         return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
 
@@ -208,7 +195,7 @@ def compare(threshold: int, codes: list[Cover], thin=forest):
                     j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[cell[some]], n)
                     close = near(fps[i], fps[j], int(piece))
                     if close.any():
-                        yield thin(fps[i[close]], fps[j[close]])
+                        yield forest(fps[i[close]], fps[j[close]])
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -238,11 +225,8 @@ def compare(threshold: int, codes: list[Cover], thin=forest):
     return run_task
 
 
-def links(distinct: DataFrame, threshold: int, pieces: int, block: int, limit: int | None = None, thin=forest) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column fp) within the threshold.
-
-    With a ``limit`` above the threshold, what meets at an anchor anyway is linked up to there.
-    """
+def links(distinct: DataFrame, threshold: int, pieces: int, block: int) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (column fp) within the threshold."""
     spark = distinct.sparkSession
     at_home = distinct.mapInArrow(replicate(threshold, pieces, True), "anchor long, home boolean, fp long")
     hot = at_home.groupBy("anchor").count().filter(F.col("count") > block)
@@ -262,7 +246,7 @@ def links(distinct: DataFrame, threshold: int, pieces: int, block: int, limit: i
     else:
         sent = sent.select("anchor", F.lit(0).alias("left"), F.lit(0).alias("right"), "home", "fp")
     cells = sent.repartition("anchor", "left", "right").sortWithinPartitions("anchor", "left", "right", F.desc("home"))
-    return cells.mapInArrow(compare(limit or threshold, covers(threshold, pieces), thin), "a long, b long")
+    return cells.mapInArrow(compare(threshold, covers(threshold, pieces)), "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, threshold: int = 4, pieces: int = 3, block: int = 4096) -> DataFrame:
@@ -282,288 +266,5 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: int = 4, pieces: int
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: bytes, width: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-
-
-def shingle_hashes(text: bytes, width: int) -> np.ndarray:
-    """XXH64 of the members of ``shingles``, in order."""
-    words = text.lower().split()
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def set_key(hashes: np.ndarray) -> int:
-    """64 bits, as a signed long, that stand for a set of shingles."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
-
-
-def keyed(docs: DataFrame, width: int = 5) -> DataFrame:
-    """All rows and columns, and set_key of each row's shingles."""
-    bounded_batches(docs.sparkSession)
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [set_key(shingle_hashes((t or "").encode(), width)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "set_key"])
-
-    return docs.mapInArrow(run_task, docs.withColumn("set_key", F.lit(0).cast("long")).schema)
-
-
-def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Hashes that several texts of a bounded sample have, the most frequent last.
-
-    They serve to order the members of a set, and any order gives the same links.
-    """
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_hashes(t or b"", width) for t in batch.column("text").to_pylist()]
-            h, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    rows = max(1, texts.count())
-    some = texts.filter(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(1 << 30)) < (1 << 30) * min(rows, ORDER_ROWS) // rows)
-    counts = some.mapInArrow(run_task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).collect()
-    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
-
-
-def prefixes(width: int, similarity: float, common):
-    """Map function: of each set, the rarest members, of which similar sets share one at least.
-
-    Sets A and B as similar as asked share at least similarity * |A| members, so that in one
-    order for all sets the first |A| - ceil(similarity * |A|) + 1 of A meet those of B.
-    """
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(common.value)
-        ranked = common.value[order]
-        seen: set[int] = set()
-        for batch in batches:
-            out: list[tuple[np.ndarray, int, int]] = []
-            for t in batch.column("text").to_pylist():
-                own = shingle_hashes(t or b"", width)
-                if (key := set_key(own)) in seen:
-                    continue
-                if len(seen) < SEEN_KEYS:
-                    seen.add(key)
-                n = len(own)
-                rank = np.zeros(n, np.int64)
-                if len(ranked):
-                    at = np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)
-                    rank = np.where(ranked[at] == own, order[at] + 1, 0)
-                first = np.lexsort([own, rank])[: n - int(np.ceil(similarity * n - SLACK)) + 1]
-                out.append((own[first], key, n))
-            if out:
-                size = [len(h) for h, _, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([h for h, _, _ in out]).view(np.int64)), pa.array(np.repeat(np.array([k for _, k, _ in out], np.int64), size)),
-                        pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), size)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in size])),
-                    ],
-                    names=["h", "key", "n", "at"],
-                )
-
-    return run_task
-
-
-def may_be_similar(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of n and m members whose first common one is at these places can be similar."""
-    return np.minimum(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - SLACK
-
-
-def cells_of(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """The columns of each cell (equal values in the first column) of sorted rows, whole."""
-    held: list[np.ndarray] | None = None
-    for batch in larger(batches, CELL_ROWS):
-        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        own = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
-        bounds = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1])
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a > 1:
-                yield [x[a:b] for x in own]
-        held = [x[bounds[-1] :] for x in own]
-    if held is not None and len(held[0]) > 1:
-        yield held
-
-
-def shared_cells(similarity: float):
-    """Map function over rows sorted by hash and key: those that share it with a set that can be similar."""
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for cell in cells_of(batches, ("h", "key", "n", "at")):
-            new = np.concatenate([[True], cell[1][1:] != cell[1][:-1]])  # a key that several tasks met
-            cell = [x[new] for x in cell]
-            n, at = cell[2].astype(np.int64), cell[3].astype(np.int64)
-            if len(n) < 2:
-                continue
-            if len(n) <= WHOLE_CELL:
-                can = may_be_similar(n[:, None], at[:, None], n[None, :], at[None, :], similarity)
-                np.fill_diagonal(can, False)
-                cell = [x[can.any(axis=1)] for x in cell]
-            held.append(cell)
-            rows += len(cell[0])
-            if rows > CELL_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["h", "key", "n", "at"])
-                held, rows = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["h", "key", "n", "at"])
-
-    return run_task
-
-
-def candidates(similarity: float, turn: int | None):
-    """Map function over cells with their sets' roots: pairs of different roots that can be similar.
-
-    In a ``turn``, each set with one of its cell, which the turn names; with none, all pairs.
-    """
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, key, n, at, root in cells_of(batches, ("h", "key", "n", "at", "root")):
-            if (root == root[0]).all():
-                continue
-            n, at = n.astype(np.int64), at.astype(np.int64)
-            if turn is None:
-                hubs = np.arange(len(key))
-            else:
-                mixed = (key.view(np.uint64) ^ np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-                hubs = np.array([np.argmin(mixed ^ (mixed >> np.uint64(29)))])
-            step = max(1, PAIRS // len(key))
-            for some in np.split(hubs, range(step, len(hubs), step)):
-                can = (root[some][:, None] != root[None, :]) & may_be_similar(n[some][:, None], at[some][:, None], n[None, :], at[None, :], similarity)
-                if turn is None:
-                    can &= key[some][:, None] < key[None, :]
-                i, j = np.nonzero(can)
-                if len(i):
-                    a, b = key[some][i], key[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return run_task
-
-
-def may_hold(bits, width: int):
-    """Map function: rows of texts whose set's place is set in a bitmap, each set once a task."""
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = np.frombuffer(bits.value, np.uint8), set()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keys = np.array([set_key(shingle_hashes(t or b"", width)) for t in texts], np.int64)
-            at = keys.view(np.uint64) % np.uint64(FILTER_BITS)
-            rows = []
-            for i in np.flatnonzero(held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).tolist():
-                if keys[i] not in seen:
-                    rows.append(i)
-                    if len(seen) < SEEN_KEYS:
-                        seen.add(keys[i])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[rows], pa.int64()), pa.array([texts[i] for i in rows], pa.binary())], names=["id", "t"])
-
-    return run_task
-
-
-def among(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, t) for each wanted set (column id), t being a text that has it; the other texts are not shuffled.
-
-    A bitmap of FILTER_BITS over the ids goes out first, whatever their number; what it lets
-    through is joined. A full bitmap costs a larger shuffle and loses nothing.
-    """
-    place = F.pmod(F.pmod("id", F.lit(FILTER_BITS)) + FILTER_BITS, F.lit(FILTER_BITS))
-    # The built-in bitmaps count from 1: position 0 of bucket 1 is value 1.
-    own = wanted.select((place + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    held = bytearray(FILTER_BITS // 8)
-    for r in own.toLocalIterator():
-        held[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
-    shared = texts.sparkSession.sparkContext.broadcast(bytes(held))
-    some = texts.mapInArrow(may_hold(shared, width), "id long, t binary")
-    return some.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-
-
-def similar(width: int, similarity: float):
-    """Map function: of pairs with both texts, those whose shingles are as similar as asked."""
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = shingles(x or b"", width), shingles(y or b"", width)
-                common = len(p & q)
-                keep.append(common >= similarity * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run_task
-
-
-def similar_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """(node, root) for each set_key that is linked to another: all links count, none is left out.
-
-    A set-similarity join with prefix filter: every two sets that are similar meet in the cell of
-    a shingle that is among the rarest of both. A cell's sets are first held against one of them,
-    TURNS times another, and links are joined to components; then all pairs that still are in
-    different components are held against each other. Pairs are compared by the shingles of
-    their texts. A group of near copies is one component after the turns and yields rows in
-    proportion to its size; sets that share rare shingles, could be similar and are not, cost a row
-    a pair.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    common = spark.sparkContext.broadcast(common_shingles(texts, width))
-    rows = texts.mapInArrow(prefixes(width, similarity, common), "h long, key long, n int, at int")
-    cells = rows.repartition("h").sortWithinPartitions("h", "key").mapInArrow(shared_cells(similarity), "h long, key long, n int, at int")
-    cells = reliable(cells)
-    held = reliable(among(texts, cells.select(F.col("key").alias("id")).distinct(), width))
-    x, y = held.select(F.col("id").alias("a"), F.col("t").alias("x")), held.select(F.col("id").alias("b"), F.col("t").alias("y"))
-    linked = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    for turn in (*range(1, TURNS + 1), None):
-        now = cells.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-        apart = now.groupBy("h").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("h")
-        now = now.join(apart, "h", "left_semi").repartition("h").sortWithinPartitions("h", "key")
-        pairs = reliable(now.mapInArrow(candidates(similarity, turn), "a long, b long").distinct())
-        found = reliable(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar(width, similarity), "a long, b long"))
-        # What was found before is a star for each component.
-        linked = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = reliable(components(linked))
-    return roots
-
-
-def similar_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, set_key), and (set_key, root) for every set_key: root names its group."""
-    own = reliable(keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).select("doc_id", "set_key"))
-    roots = similar_sets(docs, similarity, width)
-    classes = own.select("set_key").distinct().join(roots, F.col("set_key") == F.col("node"), "left")
-    return own, reliable(classes.select("set_key", F.coalesce("root", "set_key").alias("root")))
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """A row for each document with an id: doc_id, component_id (the smallest id of its group).
-
-    Groups by the Jaccard similarity of sets of ``width``-word shingles, by all links there are
-    (see ``similar_sets``). Rows without an id are left out, after they have linked others.
-    Sets are told apart by 64 bits.
-    """
-    own, classes = similar_classes(docs, similarity, width)
-    own = own.filter("doc_id IS NOT NULL").distinct().join(classes, "set_key")
-    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return own.join(least, "root").select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """Of each group the row with the smallest doc_id, all columns. A null orders after every id;
-    of rows with one id and one set of shingles, the largest text by its bytes stays."""
-    own, classes = similar_classes(docs, similarity, width)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_key")).alias("m")
-    kept = own.join(classes, "set_key").groupBy("root").agg(first).select("m.doc_id", "m.set_key")
-    return chosen(keyed(docs, width), kept, "set_key", F.struct("text"))
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), width=4)

@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meridia.llm import exact_dedup, graph, simhash
+from meridia.llm import exact_dedup, graph, near_sets, simhash
 
 
 def brute_groups(docs):
@@ -144,15 +144,15 @@ def test_similar_groups(spark, odd, no_documents):
     other = [f"v{i}" for i in range(200)]
     docs = [(1, words), (2, [*words[:-1], "end"]), (3, words[:90] + other[:110]), (4, other), (5, ["start", *other[1:]]), (6, words)]
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
-    assert dict(map(tuple, simhash.similar_groups(frame).collect())) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 1}
-    got = dict(map(tuple, simhash.similar_groups(odd).collect()))
+    assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 1}
+    got = dict(map(tuple, near_sets.similar_groups(odd).collect()))
     assert got[3] == 1 and got[9] == 8 and got[5] == 4 and None not in got
-    assert simhash.similar_groups(no_documents).count() == 0
+    assert near_sets.similar_groups(no_documents).count() == 0
 
 
 def brute_similar(rows, similarity=0.8, width=5):
     """doc_id to the smallest id of its group, by all pairs that share a shingle."""
-    sets = {i: simhash.shingles((t or "").encode(), width) for i, t in rows}
+    sets = {i: near_sets.shingles((t or "").encode(), width) for i, t in rows}
     having, root = defaultdict(list), {i: i for i in sets}
     for i in sorted(sets):
         for h in sets[i]:
@@ -189,7 +189,7 @@ def test_similar_groups_have_all_links(spark):
     """Partners that are not the closest ones, and bridges between groups, link as well."""
     for rows in (near_copies(1), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]):
         frame = spark.createDataFrame(rows, "doc_id long, text string")
-        assert dict(map(tuple, simhash.similar_groups(frame).collect())) == brute_similar(rows)
+        assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == brute_similar(rows)
 
 
 def test_similar_groups_of_repeated_lines(spark):
@@ -200,7 +200,7 @@ def test_similar_groups_of_repeated_lines(spark):
         body = " ".join(f"b{k}w{i}" for i in range(200))
         rows += [(10 * k + j, f"{body} {line * n}") for j, n in enumerate((2, 10, 20, 40))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert dict(map(tuple, simhash.similar_groups(frame).collect())) == {i: i - i % 10 for i, _ in rows}
+    assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == {i: i - i % 10 for i, _ in rows}
 
 
 def test_similar_groups_behind_one_fingerprint(spark):
@@ -210,4 +210,4 @@ def test_similar_groups_behind_one_fingerprint(spark):
     rows = [(1, f"{body[0]} {line}"), (2, f"{body[1]} {line}"), (3, f"{body[1]} end {line}")]
     assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows}) == 1
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert dict(map(tuple, simhash.similar_groups(frame).collect())) == {1: 1, 2: 2, 3: 2}
+    assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == {1: 1, 2: 2, 3: 2}

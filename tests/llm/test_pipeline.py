@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline as pipeline
-from meridia.llm import secrets, simhash
+from meridia.llm import near_sets, secrets
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -24,7 +24,7 @@ def test_stages(spark, tmp_path):
     assert sorted(bodies(b)) == sorted(set(bodies(a)))
     # Near duplicates: whoever left is similar to someone, and no clear duplicates are left.
     a, b = texts["SimHash near-dedup"]
-    sets = {i: simhash.shingles(t.encode(), 5) for i, t in a.items()}
+    sets = {i: near_sets.shingles(t.encode(), 5) for i, t in a.items()}
     alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
     for gone in a.keys() - b.keys():
         assert any(alike(gone, i) for i in a if i != gone)
