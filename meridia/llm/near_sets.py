@@ -46,7 +46,7 @@ THRESHOLD, PIECES, BLOCK = 4, 3, 4096
 #: Longs of a parity bitmap.
 BITS = 8
 #: Turns in which a cell's sets are held against one of them.
-TURNS = 3
+TURNS = 1
 #: Texts whose shingles are counted for an order by frequency, and frequent ones that go to the driver.
 ORDER_ROWS = 5_000
 ORDER_SHINGLES = 100_000
@@ -56,6 +56,8 @@ ASKED, LARGE = 64, 16_384
 CELL_ROWS, WHOLE_CELL = 1 << 16, 2048
 #: Bits of the filter for candidates' texts (4 MB), and texts that a task remembers to send each once.
 FILTER_BITS, SEEN = 1 << 25, 1 << 18
+#: Pairs up to which they are sent to the sets (16 MB), rather than the sets to them.
+FEW_PAIRS = 1_000_000
 #: For rounding: what a bound on members is lowered by.
 SLACK = 1e-6
 
@@ -167,35 +169,45 @@ def chance(x: str, y: str, similarity: float) -> Column:
     return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (common >= share * both - SLACK) & (apart <= (1 - 2 * share) * both + SLACK)
 
 
-def shared_cells(similarity: float):
-    """Map function over rows sorted by cell and key: those that share it with a set that can be similar.
+ROW, BITMAP = ("h", "key", "n", "at", "salt"), tuple(f"b{i}" for i in range(BITS))
 
-    Of a cell that is large, or a salted part of one, all rows pass.
+
+def shared_cells(similarity: float, bitmaps: bool):
+    """Map function over rows sorted by cell and key: those that share it with a set that can be
+    similar, by size and place and, where they come along, by bitmaps.
+
+    Of a cell that is large, or a salted part of one (salt > 0), all rows pass.
     """
+    share = similarity / (1 + similarity)
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "key", "n", "at"]
+        names = [*ROW, *(BITMAP if bitmaps else ())]
         held: list[np.ndarray] | None = None  # the cell that a batch's end may have cut
         passing = None  # a cell of which rows passed already
 
         def pairable(cell: list[np.ndarray]) -> list[np.ndarray]:
-            _, _, n, at, _ = cell
-            n, at = n.astype(np.int64), at.astype(np.int64)
-            can = may_be_similar(n[:, None], at[:, None], n[None, :], at[None, :], similarity)
-            np.fill_diagonal(can, False)
-            some = can.any(axis=1)
+            n, at = cell[2].astype(np.int64), cell[3].astype(np.int64)
+            i, j = np.nonzero(np.triu(may_be_similar(n[:, None], at[:, None], n[None, :], at[None, :], similarity), 1))
+            if bitmaps:
+                apart = np.zeros(len(i), np.int64)
+                for b in cell[5:]:
+                    apart += np.bitwise_count(b.view(np.uint64)[i] ^ b.view(np.uint64)[j])
+                near = apart <= (1 - 2 * share) * (n[i] + n[j]) + SLACK
+                i, j = i[near], j[near]
+            some = np.zeros(len(n), bool)
+            some[i] = some[j] = True
             return [x[some] for x in cell]
 
         def out(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in list(zip(*found, strict=True))[:4]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
 
         for batch in larger(batches, CELL_ROWS):
-            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*names, "salted")]
+            own = [np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in names]
             own = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
             bounds = np.concatenate([[0], np.flatnonzero(own[0][1:] != own[0][:-1]) + 1, [len(own[0])]])
             size = np.diff(bounds)
-            salted = own[4][bounds[:-1]].astype(bool)
+            salted = own[4][bounds[:-1]] > 0
             found, last = [], len(size) - 1
             ends = np.isin(np.arange(len(size)), (0, last))
             for c in np.flatnonzero((size > 1) | salted | ends).tolist():
@@ -203,7 +215,7 @@ def shared_cells(similarity: float):
                 if salted[c] or size[c] > WHOLE_CELL or cell[0][0] == passing:
                     found.append(cell)
                     passing = cell[0][0]
-                elif c < last:
+                elif c < last and size[c] > 1:
                     found.append(pairable(cell))
             tail = [x[bounds[-2] :] for x in own]
             held = None if tail[0][0] == passing else tail
@@ -220,17 +232,19 @@ def cells_of(sets: DataFrame, similarity: float) -> DataFrame:
     asked = members.filter(F.pmod(F.xxhash64(F.lit("asked"), "key"), F.lit(ASKED)) == 0)
     large = asked.groupBy("h").count().filter(F.col("count") * ASKED >= LARGE)
     large = reliable(large.select("h", F.ceil(F.col("count") * ASKED / LARGE).cast("int").alias("parts")))
-    some = large.count()
-    if some:
+    salt = F.lit(0)
+    if some := large.count():
         members = members.join(F.broadcast(large) if some <= 50_000 else large, "h", "left")
-    else:
-        members = members.withColumn("parts", F.lit(None).cast("int"))
-    salted = F.col("parts").isNotNull()
-    dealt = members.select("h", "key", "n", "at", salted.alias("salted"), F.when(salted, F.pmod(F.xxhash64("key"), "parts")).otherwise(0).alias("salt"))
-    dealt = dealt.repartition("h", "salt").sortWithinPartitions("h", "salt", "key").select("h", "key", "n", "at", "salted")
-    shared = dealt.mapInArrow(shared_cells(similarity), "h long, key long, n int, at int")
-    bitmaps = sets.select(F.col("set_key").alias("key"), *(F.col("bits")[i].alias(f"b{i}") for i in range(BITS)))
-    return reliable(shared.join(bitmaps, "key"))
+        salt = F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("key"), "parts").cast("int")).otherwise(0)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "key")
+
+    schema = "h long, key long, n int, at int, salt int"
+    shared = dealt(members.withColumn("salt", salt).select(*ROW)).mapInArrow(shared_cells(similarity, False), schema)
+    bitmaps = sets.select(F.col("set_key").alias("key"), *(F.col("bits")[i].alias(b) for i, b in enumerate(BITMAP)))
+    rows = dealt(shared.join(bitmaps, "key").select(*ROW, *BITMAP))
+    return reliable(rows.mapInArrow(shared_cells(similarity, True), schema + "".join(f", {b} long" for b in BITMAP)).drop("salt"))
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -305,7 +319,12 @@ def similar_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> tu
     x, y = held.select(F.col("key").alias("a"), F.col("members").alias("x")), held.select(F.col("key").alias("b"), F.col("members").alias("y"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar(similarity), "a long, b long")
+        pairs = reliable(pairs)
+        few = pairs.count() <= FEW_PAIRS
+        ends = pairs.select("b").distinct()
+        left = (F.broadcast(pairs) if few else pairs).join(x, "a")
+        right = y.join(F.broadcast(ends) if few else ends, "b", "left_semi")
+        return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(similar(similarity), "a long, b long")
 
     roots = reliable(components(confirmed(fingerprint_pairs(sets))))
     for turn in (*range(1, TURNS + 1), None):
