@@ -3,15 +3,16 @@
 Each map task fills memtables of bounded size. A full memtable is flushed as sorted runs of
 digests, cut by shard, each with a Bloom filter. One task per shard then adds the runs to a
 levelled index: where two runs of a level meet, they are compacted, the filter of the one
-telling which digests of the other have to be looked up at all, and of equal digests the
-smallest identifier (the row to keep) stays. Digests found in two rows or more are hits; the
-texts of hits are read once more and grouped by their bytes, so that a collision of digests
-never joins two texts. That grouping gives keep_id and group_size; of the index only the filters
-over its hits are used.
+telling which digests of the other have to be looked up at all. Of equal digests the smallest
+identifier stays (of the row to keep: most code points first), and their rows are counted.
 
-Hot groups: copies collapse in the memtable and again in each compaction, and the grouping by
-bytes is combined before its shuffle, so that a third of all rows in one group is a few
-entries by the time anything meets in one task.
+Digests found in two rows or more are hits. Their entries in the index give keep_id and
+group_size. The texts of hits are read once more, and their bytes verify the entry: only if all
+texts of a digest are the same bytes it stands. Digests that clash are split by their bytes.
+
+Hot groups: copies collapse in the memtable and again in each compaction, and the verification
+is combined before its shuffle, so that a third of all rows in one group is a few entries by the
+time anything meets in one task.
 
 Defined results: a null text counts as empty, and all empty texts are one group; a null doc_id
 orders after every other (the largest 64-bit id is reserved for it); rows that repeat a doc_id
@@ -36,6 +37,8 @@ NO_ID = np.iinfo(np.int64).max
 ENTRY = np.dtype([("key", "V32"), ("lead", ">u8"), ("chars", "<i8"), ("id", "<i8"), ("count", "<i8")])
 FLUSH = "doc_id long, sha binary, chars long, shard int, run string, entries binary, filter binary"
 PROBES = 4
+#: Rows of hits in a batch, and tasks that make a filter over them.
+HIT_ROWS, FILTER_TASKS = 65_536, 8
 
 
 class Filter:
@@ -176,47 +179,60 @@ def memtables(shards: int, limit: int, digest_bytes: int):
     return run_task
 
 
-def compaction(filter_bits: int):
-    """Runs, sorted by shard and run, to one row for each shard: its hits and a filter over them."""
+def compaction(digest_bytes: int):
+    """Runs, sorted by shard and run, to the index's hits: key, shard, keep_id and group_size."""
 
-    def done(shard: int, levels: Levels) -> pa.RecordBatch:
-        hits = levels.whole()
-        hits = hits[hits["count"] > 1]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([hits.tobytes()], pa.binary()), pa.array([len(hits)], pa.int64()), pa.array([Filter.of(hits["key"], filter_bits).bits.tobytes()], pa.binary())],
-            names=["shard", "hits", "n", "filter"],
-        )
+    def hits(shard: int, levels: Levels) -> Iterator[pa.RecordBatch]:
+        found = levels.whole()
+        found = found[found["count"] > 1]
+        for at in range(0, len(found), HIT_ROWS):
+            some = found[at : at + HIT_ROWS]
+            ids = some["id"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k.tobytes()[:digest_bytes] for k in some["key"]], pa.binary()), pa.array(np.full(len(some), shard, np.int32)),
+                    pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(some["count"], pa.int64()),
+                ],
+                names=["key", "shard", "keep_id", "group_size"],
+            )
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, levels = None, Levels()
         for batch in batches:
             for shard, entries, held in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist(), batch.column("filter").to_pylist(), strict=True):
                 if shard != at and at is not None:
-                    yield done(at, levels)
+                    yield from hits(at, levels)
                     levels = Levels()
                 at = shard
                 levels.add(np.frombuffer(entries, ENTRY), Filter(np.frombuffer(held, np.uint8)))
         if at is not None:
-            yield done(at, levels)
+            yield from hits(at, levels)
 
     return run_task
 
 
-def hit_texts(filters, shards: int, digest_bytes: int):
-    """Map function: normalised bytes of the documents that a shard's filter lets through."""
+def filters_of(bits: int):
+    """Map function: a filter of so many bits over the keys of each task, as one row."""
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {s: Filter(np.frombuffer(b, np.uint8)) for s, b in filters.value.items()}
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            keys = np.frombuffer(b"".join(k.ljust(32, b"\0") for k in batch.column("key").to_pylist()), "V32")
+            out |= Filter.of(keys, bits).bits
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
+
+    return run_task
+
+
+def hit_texts(shared, digest_bytes: int):
+    """Map function: key and normalised bytes of the documents that the filter over hits lets through."""
+
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Filter(np.frombuffer(shared.value, np.uint8))
         for batch in batches:
             bodies = [(t or b"").translate(None, SPACES) for t in batch.column("text").to_pylist()]
             keys = np.frombuffer(b"".join(hashlib.sha256(t).digest()[:digest_bytes].ljust(32, b"\0") for t in bodies), "V32")
-            shard = (np.ascontiguousarray(keys).view(">u8")[::4].astype(np.uint64) >> np.uint64(8)) % np.uint64(shards)
-            take = np.zeros(len(keys), bool)
-            for s in np.unique(shard):
-                if int(s) in held:
-                    mine = shard == s
-                    take[mine] = held[int(s)].may_hold(keys[mine])
-            rows = np.flatnonzero(take)
+            rows = np.flatnonzero(held.may_hold(keys))
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(rows)), batch.column("chars").take(pa.array(rows)), pa.array([keys[i].tobytes()[:digest_bytes] for i in rows], pa.binary()), pa.array([bodies[i] for i in rows], pa.binary())],
@@ -226,44 +242,45 @@ def hit_texts(filters, shards: int, digest_bytes: int):
     return run_task
 
 
-def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int = 4 << 20, digest_bytes: int = 32) -> DataFrame:
+def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int = 64 << 20, digest_bytes: int = 32) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``; of equal texts,
     the row with the most code points in its original text stays, then the smallest doc_id.
-    ``memtable_rows`` bounds a task's memtable, ``filter_bytes`` what all shards' filters over
-    hits have together (they go to the driver and out again; a fuller filter lets more texts
-    through to the comparison, it loses none). ``digest_bytes`` under 32 is for tests.
+    ``memtable_rows`` bounds a task's memtable, ``filter_bytes`` the filter over hits that tells
+    which texts have to be verified: ten bits a hit up to there (some 5 * 10**7 hits), fewer
+    beyond, when more texts are read again than need be and none is lost. ``digest_bytes``
+    under 32 is for tests.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     shards = max(64, 4 * parts(spark))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
     flushed = reliable(texts.mapInArrow(memtables(shards, memtable_rows, digest_bytes), FLUSH))
-    rows = flushed.filter("shard is null").select("doc_id", "sha", "chars", F.substring("sha", 1, digest_bytes).alias("key"))
+    rows = flushed.filter("shard is null").select("doc_id", "sha", F.substring("sha", 1, digest_bytes).alias("key"))
     runs = flushed.filter("shard is not null").select("shard", "run", "entries", "filter")
-    filter_bits = max(64, filter_bytes * 8 // shards // 8 * 8)
     index = reliable(
         runs.repartition("shard").sortWithinPartitions("shard", "run")
-        .mapInArrow(compaction(filter_bits), "shard int, hits binary, n long, filter binary")
+        .mapInArrow(compaction(digest_bytes), "key binary, shard int, keep_id long, group_size long")
     )
-    held = {r.shard: bytes(r.filter) for r in index.filter("n > 0").select("shard", "filter").toLocalIterator()}
-    filters = spark.sparkContext.broadcast(held)
-    hits = texts.mapInArrow(hit_texts(filters, shards, digest_bytes), "doc_id long, chars long, key binary, body binary")
-    keep = F.min_by("doc_id", F.struct(-F.col("chars"), F.coalesce("doc_id", F.lit(int(NO_ID))))).alias("keep_id")
-    classes = hits.groupBy("key", "body").agg(keep, F.count(F.lit(1)).alias("group_size"))
-    verified = reliable(classes.drop("body"))
-    clashing = verified.groupBy("key").count().filter("count > 1").select("key")
-    settled = verified
-    if not clashing.isEmpty():
-        settled = verified.join(clashing, "key", "left_anti")
-    out = rows.join(settled, "key", "left")
+    bits = max(512, min(filter_bytes * 8, 10 * index.count()) // 8 * 8)
+    filled = np.zeros(bits // 8, np.uint8)
+    # Some tasks' filters come one after the other; each is as large as the whole.
+    for r in index.select("key").coalesce(FILTER_TASKS).mapInArrow(filters_of(bits), "bits binary").toLocalIterator():
+        filled |= np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(filled.tobytes())
+    hits = texts.mapInArrow(hit_texts(shared, digest_bytes), "doc_id long, chars long, key binary, body binary")
+    verified = reliable(hits.groupBy("key").agg((F.min("body") == F.max("body")).alias("same")))
+    stands = index.join(verified.filter("same"), "key").select("key", "keep_id", "group_size")
+    clashing = verified.filter("not same").select("key")
+    out = rows.join(stands, "key", "left")
     if not clashing.isEmpty():
         # Equal digests of unequal texts: these documents get their class by their bytes.
-        clashing = reliable(clashing)
-        own = hits.join(clashing, "key", "left_semi").withColumn("sha", F.unhex(F.sha2("body", 256)))
-        by_bytes = own.join(classes, ["key", "body"]).select("key", "doc_id", "sha", own["chars"], "keep_id", "group_size")
-        out = rows.join(clashing, "key", "left_anti").join(settled, "key", "left").unionByName(by_bytes)
+        keep = F.min_by("doc_id", F.struct(-F.col("chars"), F.coalesce("doc_id", F.lit(int(NO_ID))))).alias("keep_id")
+        own = hits.join(clashing, "key", "left_semi")
+        classes = own.groupBy("key", "body").agg(keep, F.count(F.lit(1)).alias("group_size"))
+        by_bytes = own.join(classes, ["key", "body"]).select("key", "doc_id", F.unhex(F.sha2("body", 256)).alias("sha"), "keep_id", "group_size")
+        out = out.join(clashing, "key", "left_anti").unionByName(by_bytes)
     return out.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
