@@ -39,6 +39,61 @@ def test_lexed_literals(text, want):
     assert [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "lexed"] == want
 
 
+A, B = "s3cr3tV4lue99", "t3cr3tV4lue98"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (f"token = k\nk = '{A}'", [A]), (f"token = j\nj = k\nk = '{A}'", [A]), (f"token = `{A}`", [A]), (f'token = """{A}"""', [A]), (f"token = ('s3cr3t'\n  'V4lue99')", ["s3cr3t", "V4lue99"]),
+    (f"tokens:\n  - {A}  # old\n  - '{B}'\nname: x", [A, B]), (f"- token: {A}\n  - {B}", [A]), (f"<password>{A}</password>", [A]), (f"Authorization: Bearer {A}", [A]), (f"a = password = '{A}'", [A]),
+    (f"secret = /* main */ '{A}'", [A]), (f"token = $K\nK={A}", [A]), ("private_key: |\n  abcDEF123ghi\n  jklMNO456pqr\nnext: 1", ["abcDEF123ghi", "jklMNO456pqr"]), ("a = b\nb = a\ntoken = a", []),
+    (f"tokens = ['{A}', # one\n '{B}']", [A, B]), (f"password = read('{A}')", []), (f"if token == '{A}'", []), (f"x = '{A}' + y\nname = x", []), (f"it's a token = '{A}' isn't it", [A]), (f"token = b'{A}' + r'{B}'", [A, B]),
+])
+def test_lexed_syntax(text, want):
+    assert [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "lexed"] == want
+
+
+def test_lexed_programs():
+    """Random programs, whose literals and names are known from writing them."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text, want, values = "", set(), {}
+        for _ in range(rng.integers(1, 12)):
+            name = f"v{rng.integers(5)}" if rng.random() < 0.6 else str(rng.choice(["token", "db_password", "apiKey", "colour"]))
+            text += name + str(rng.choice([" = ", ": ", " := ", "="]))
+            spans = []
+            for k in range(rng.integers(1, 4)):
+                if k:
+                    text += str(rng.choice([" + ", "+", " +\n  "]))
+                if values and rng.random() < 0.4:
+                    other = str(rng.choice(sorted(values)))
+                    spans += values[other]
+                    text += other
+                else:
+                    body, mark = f"k{rng.integers(10**9, 10**10)}Z", str(rng.choice(["'", '"', "`"]))
+                    spans.append((len(text) + 1, len(text) + 1 + len(body)))
+                    text += mark + body + mark
+            text += str(rng.choice(["\n", ";\n", "  # note\n"]))
+            values[name] = spans
+            if name in ("token", "db_password", "apiKey"):
+                want |= set(spans)
+        assert {(s.start, s.end) for s in secrets.scan(text) if s.kind == "lexed"} == want, text
+
+
+HOSTILE = ["a='", "token=`", 'x = """', "token = /* ", "token: |\n", "tokens:\n - a\n", "token = (", "token = [", "<token>", "a=b=", "token = x +\n", "token: ", " token:\n  -", "token='a' + ", "token = token + 'q1w2e3r4'\n"]
+
+
+@pytest.mark.parametrize("text", [t * 4000 for t in HOSTILE] + ["a0 = 'q1w2e3r4t5'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(2000)) + "token = a2000"])
+def test_hostile_texts(text):
+    """Time and memory are in proportion to the text, however its names refer to each other."""
+    import time
+
+    began = time.process_time()
+    found = secrets.scan(text)
+    assert time.process_time() - began < 2
+    if text.endswith("a2000"):
+        assert [text[s.start : s.end] for s in found] == ["q1w2e3r4t5"]
+
+
 def test_secret_digests(odd, documents, no_documents, spark):
     more = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     for docs in (odd, documents, more):
