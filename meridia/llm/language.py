@@ -3,20 +3,23 @@
 A text is lower-cased, every run of characters that are not letters becomes one space, and each
 n-gram of 1 to 3 characters counts in one of 2**15 buckets. The matrix of log-probabilities
 (languages by buckets) is broadcast, and batches of texts are scored at once: the rows of the
-matrix for all n-grams of the batch, summed by text.
+matrix for all n-grams of the batch, summed by text, and the log of each language's share of the
+rows that were learnt from.
 
 The model is fitted on a bounded sample of the labelled rows it may learn from; it sees text and
 language only. Prediction covers every whole text.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0, as does every
 text if there is nothing to learn from; equal likelihoods go to the first language in order; a
-null doc_id is held out never (it has no remainder) and repeated rows are rows of their own; an
+language of which no text has a letter is none to learn; a null doc_id is held out never (it has no remainder) and repeated rows are rows of their own; an
 empty table gives an empty result; columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -70,18 +73,20 @@ def buckets(own: np.ndarray, start: int, end: int) -> np.ndarray:
 
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map function: n-gram counts by language, in blocks of buckets."""
+    """Map function: n-gram counts by language, in blocks of buckets, and how many texts there were."""
     counts: dict[str, np.ndarray] = {}
+    texts: Counter[str] = Counter()
     for batch in batches:
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             own = codes(text)
+            texts[lang] += 1
             mine = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
             for at in range(0, len(own), SPAN):
                 mine += np.bincount(buckets(own, at, min(at + SPAN, len(own))), minlength=BUCKETS)
     for lang, mine in counts.items():
-        rows = mine.reshape(-1, BLOCK)
+        rows = [np.array([texts[lang]]), *mine.reshape(-1, BLOCK)]  # block -1: the number of texts
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(rows)), pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.astype("<i8").tobytes() for r in rows], pa.binary())],
+            [pa.array([lang] * len(rows)), pa.array(np.arange(-1, len(rows) - 1, dtype=np.int32)), pa.array([r.astype("<i8").tobytes() for r in rows], pa.binary())],
             names=["lang", "block", "counts"],
         )
 
@@ -91,8 +96,16 @@ def add_up(table: pa.Table) -> pa.Table:
     return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their log-probabilities by bucket.
+class Languages(NamedTuple):
+    """Languages in order, their log-probabilities by bucket, and those of the languages themselves."""
+
+    names: list[str]
+    table: np.ndarray
+    prior: np.ndarray
+
+
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Languages:
+    """The model.
 
     ``labelled`` has doc_id, text and lang. Of more than ``train_rows`` rows a sample of about so
     many is taken by a hash of doc_id; at most TRAIN_TASKS tasks count, so that sums of counts,
@@ -105,17 +118,24 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], n
         usable = usable.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < (1 << 30) * train_rows // n)
     counted = usable.repartition(TRAIN_TASKS).mapInArrow(tally, "lang string, block int, counts binary")
     rows = reliable(counted.groupBy("lang", "block").applyInArrow(add_up, "lang string, block int, counts binary")).collect()
-    langs = sorted({r.lang for r in rows})
-    counts = np.zeros((len(langs), BUCKETS))
+    counts: dict[str, np.ndarray] = {}
+    texts = {}
     for r in rows:
-        counts[langs.index(r.lang), r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, "<i8")
-    probability = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
-    return langs, np.log(probability)
+        own = np.frombuffer(r.counts, "<i8")
+        if r.block < 0:
+            texts[r.lang] = int(own[0])
+        else:
+            counts.setdefault(r.lang, np.zeros(BUCKETS))[r.block * BLOCK : (r.block + 1) * BLOCK] = own
+    names = sorted(x for x, own in counts.items() if own.any())
+    table = np.array([counts[x] for x in names]).reshape(-1, BUCKETS)
+    table = (table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
+    prior = np.array([texts[x] for x in names], np.float64)
+    return Languages(names, np.log(table), np.log(prior / max(1.0, prior.sum())))
 
 
 class Scorer:
-    def __init__(self, langs: list[str], table: np.ndarray):
-        self.langs, self.rows = langs, np.ascontiguousarray(table.T.astype(np.float32))
+    def __init__(self, langs: list[str], table: np.ndarray, prior: np.ndarray | float = 0.0):
+        self.langs, self.rows, self.prior = langs, np.ascontiguousarray(table.T), prior
 
     def likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods by text and language, and which texts have a letter."""
@@ -127,7 +147,7 @@ class Scorer:
             nonlocal held, of, n
             if held:
                 starts = np.cumsum([0, *map(len, held[:-1])])
-                sums = np.add.reduceat(self.rows[np.concatenate(held)], starts, axis=0, dtype=np.float64)
+                sums = np.add.reduceat(self.rows[np.concatenate(held)], starts, axis=0)
                 np.add.at(out, of, sums)
             held, of, n = [], [], 0
 
@@ -147,15 +167,16 @@ class Scorer:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         like, some = self.likelihoods(texts)
+        like += self.prior
         best = like.argmax(axis=1)
         share = 1.0 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
         return [self.langs[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, share, 0.0)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: Languages) -> DataFrame:
     """doc_id, lang_pred and score of every whole text."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

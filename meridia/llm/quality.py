@@ -1,13 +1,15 @@
 """Quality classification by co-training on two views of a document.
 
 The text view looks at the content: how words repeat, their case and length, what other marks
-there are. The metadata view looks at what is known about the page without reading it: source,
-language, length, and how its lines are laid out. Each view has a logistic model, fitted first
-on labelled rows. In each round both models score every document; the documents that one view
-is confident about become pseudo-labelled rows for the other, which takes a Newton step over its
-labelled rows and those. Pseudo-labels of a class weigh as much in all as its labelled rows.
-At last each view's log-odds are calibrated on labelled rows (by out-of-fold scores, Platt's
-way), and their calibrated sum, again fitted on labelled rows, scores all documents.
+there are, how lines are laid out. The metadata view looks at what is known about the page without
+reading it, and at nothing else: source, language and stated length. Each view has a logistic model, fitted
+first on labelled rows. In each round both models score every document; the documents that one view
+is confident about become pseudo-labelled rows for the other, which is fitted again on its
+labelled rows and those (by the gradient and Hessian of their loss at the weights they were found
+with). Pseudo-labels of a class weigh as much in all as its labelled rows. After every fit each view's
+log-odds are calibrated, Platt's way, on scores of labelled rows by models that were fitted without
+them, so that confidence means the same in every round; the calibrated sum of both views, fitted
+on the same scores, is what documents are scored by in the end.
 
 Features are a few dozen numbers a document, computed once where its row is read and kept by a
 checkpoint. A round is one pass over them: tasks return sums (gradient and Hessian by view and
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm.common import bounded_batches, documents, reliable
-from meridia.llm.linear import log_odds, logistic, loss, out_of_fold, platt, predict, ridge_of, sigmoid, with_bias
+from meridia.llm.linear import Quadratic, log_odds, logistic, out_of_fold, platt, predict, sigmoid, with_bias
 
 #: Labelled rows that the models are fitted on, about, however many there are.
 TRAIN_ROWS = 20_000
@@ -70,34 +72,40 @@ def content(text: str) -> list[float]:
     return [*per_word, *per_char, min(size, 40) / 10, np.log1p(k), *np.sqrt(np.clip(per_word, 0, None))]
 
 
-def page(text: str, lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    """The metadata view of a document."""
+def layout(text: str) -> list[float]:
+    """How a text's lines are laid out."""
     lines = text.split("\n")
     sizes = [len(x) for x in lines]
     filled = [x for x in lines if x.strip()]
     n = max(1, len(filled))
     mean = sum(sizes) / len(sizes)
     spread = (sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5
+    return [
+        np.log1p(len(lines)), np.log1p(mean), np.log1p(max(sizes)), np.log1p(min(sizes)), spread / (mean + 1),
+        1 - len(filled) / len(lines), 1 - len(set(filled)) / n, len(lines) / max(1.0, np.log1p(len(text))),
+    ]
+
+
+def page(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """The metadata view of a document."""
     host, tongue = np.zeros(HOSTS + 1), np.zeros(LANGS + 1)
     host[HOSTS if source is None else zlib.crc32(source.encode()) % HOSTS] = 1
     tongue[LANGS if lang is None else zlib.crc32(lang.encode()) % LANGS] = 1
     length = np.log1p(max(0, n_chars or 0))
-    return [
-        length, length**2 / 10, float(n_chars is None), np.log1p(len(lines)), np.log1p(mean), np.log1p(max(sizes)), np.log1p(min(sizes)),
-        spread / (mean + 1), 1 - len(filled) / len(lines), 1 - len(set(filled)) / n, len(lines) / max(1.0, length), *host, *tongue,
-    ]
+    return [length, length**2 / 10, float(n_chars is None), *host, *tongue]
 
 
 def both(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> tuple[list[float], list[float]]:
-    return content(text or ""), page(text or "", lang, source, n_chars)
+    return [*content(text or ""), *layout(text or "")], page(lang, source, n_chars)
 
 
 def read_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map function: the features of both views, as 32-bit numbers."""
+    """Map function: the features of both views, as 32-bit numbers, after what else the rows have."""
     for batch in batches:
         rows = [both(*r) for r in zip(*(batch.column(c).to_pylist() for c in COLUMNS[1:]), strict=True)]
-        packed = [[np.array(r[v], "<f4").tobytes() for r in rows] for v in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p, pa.binary()) for p in packed)], names=["doc_id", "view0", "view1"])
+        packed = [pa.array([np.array(r[v], "<f4").tobytes() for r in rows], pa.binary()) for v in (0, 1)]
+        kept = [c for c in batch.schema.names if c not in COLUMNS[1:]]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *packed], names=[*kept, "view0", "view1"])
 
 
 def unpack(column: pa.Array) -> np.ndarray:
@@ -166,26 +174,33 @@ def pseudo_labels(shared, slots: int):
     return run_task
 
 
-def damped(x: np.ndarray, y: np.ndarray, w: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """A step as long as labelled rows bear it: their loss may grow by a tenth at most."""
-    a, none = with_bias(x), np.zeros(len(w))
-    now, size = loss(a, y, w, none), 1.0
-    while size > 1e-3 and loss(a, y, w - size * step, none) > 1.1 * now:
-        size /= 2
-    return w - size * step if size > 1e-3 else w
-
-
 def add_up(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(b, "<f8") for b in table.column("sums").to_pylist())
     return table.slice(0, 1).set_column(1, "sums", pa.array([total.tobytes()], pa.binary()))
 
 
-def calibrated(model: Model, x: list[np.ndarray], y: np.ndarray) -> Model:
-    """The model with calibrations and combination fitted on out-of-fold scores of its rows."""
-    odds = [log_odds(out_of_fold(x[v], y, l2=L2)) for v in (0, 1)]
+def learned(model: Model, x: list[np.ndarray], y: np.ndarray, more: list[Quadratic | None]) -> Model:
+    """The model fitted on labelled rows and pseudo-labels; calibrations and combination by
+    scores of rows that the scoring models were not fitted on."""
+    weights = [logistic(x[v], y, L2, more=more[v]) for v in (0, 1)]
+    odds = [log_odds(out_of_fold(x[v], y, l2=L2, more=more[v])) for v in (0, 1)]
     calibration = [platt(o, y) for o in odds]
     even = [a * o + b for (a, b), o in zip(calibration, odds, strict=True)]
-    return model._replace(calibration=calibration, combination=logistic(np.stack(even, axis=1), y, l2=1e-2))
+    return model._replace(weights=weights, calibration=calibration, combination=logistic(np.stack(even, axis=1), y, l2=1e-2))
+
+
+def weighed(sums: np.ndarray, model: Model, y: np.ndarray) -> list[Quadratic | None]:
+    """By view, the loss of its pseudo-labelled rows; each class weighs as its labelled rows at most."""
+    out, at = [], 0
+    for v in (0, 1):
+        d, total = len(model.weights[v]), 0.0
+        for label in (0.0, 1.0):
+            own = sums[at : at + 1 + d + d * d]
+            at += len(own)
+            if own[0]:
+                total = total + own[1:] * min(1.0, (y == label).sum() / own[0])
+        out.append(None if isinstance(total, float) else Quadratic(model.weights[v], total[:d], total[d:].reshape(d, d)))
+    return out
 
 
 def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS) -> Model:
@@ -203,74 +218,60 @@ def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, train
     raw = [np.frombuffer(b"".join(r[f"view{v}"] for r in rows), "<f4").reshape(len(rows), -1).astype(np.float64) for v in (0, 1)]
     model = Model([x.mean(axis=0) for x in raw], [x.std(axis=0) + 1e-3 for x in raw], [], [], np.zeros(0))
     x = [model.standard(v, raw[v]) for v in (0, 1)]
-    model = calibrated(model._replace(weights=[logistic(x[v], y, L2) for v in (0, 1)]), x, y)
+    model = learned(model, x, y, [None, None])
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         found = features.mapInArrow(pseudo_labels(shared, SLOTS), "slot int, sums binary").groupBy("slot").applyInArrow(add_up, "slot int, sums binary").collect()
         if not found:
             break
         sums = sum(np.frombuffer(r.sums, "<f8") for r in sorted(found, key=lambda r: r.slot))
-        weights, at = [], 0
-        for v in (0, 1):
-            w, d = model.weights[v], len(model.weights[v])
-            ridge = ridge_of(d, L2)
-            total = newton_sums(x[v], y, w)[1:]
-            for label in (0.0, 1.0):
-                own = sums[at : at + 1 + d + d * d]
-                at += len(own)
-                if own[0]:
-                    total = total + own[1:] * min(1.0, (y == label).sum() / own[0])
-            gradient, hessian = total[:d] + ridge * w, total[d:].reshape(d, d) + np.diag(ridge)
-            weights.append(damped(x[v], y, w, np.linalg.solve(hessian, gradient)))
-        model = model._replace(weights=weights)
-    odds = [log_odds(predict(x[v], model.weights[v])) for v in (0, 1)]
-    calibration = [platt(o, y) for o in odds]
-    even = [a * o + b for (a, b), o in zip(calibration, odds, strict=True)]
-    return model._replace(calibration=calibration, combination=logistic(np.stack(even, axis=1), y, l2=1e-2))
+        model = learned(model, x, y, weighed(sums, model, y))
+    return model
 
 
-def features_of(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of both views of every whole document, behind a checkpoint."""
+def features_of(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """doc_id and the features of both views of every whole document, behind a checkpoint; with
+    ``rows`` the rows as they are in a column of that name."""
     bounded_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    return reliable(own.mapInArrow(read_features, "doc_id long, view0 binary, view1 binary"))
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"),
+        *([F.struct(*docs.columns).alias("row")] if rows else []),
+    )
+    schema = own.drop(*COLUMNS[1:]).withColumns({f"view{v}": F.lit(None).cast("binary") for v in (0, 1)}).schema
+    return reliable(own.mapInArrow(read_features, schema))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row for each document: doc_id, quality, the views' own probabilities, kept."""
     features = features_of(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(co_train(features, labels))
+    scored = judged(features, co_train(features, labels))
+    return scored.withColumn("kept", F.col("quality") >= threshold)
+
+
+def judged(features: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``features`` but for the views, and quality, p_text, p_page."""
+    shared = features.sparkSession.sparkContext.broadcast(model)
+    kept = features.drop("view0", "view1")
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p = shared.value.score([unpack(batch.column(f"view{v}")) for v in (0, 1)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(3))], names=["doc_id", "quality", "p_text", "p_page"])
+                own = [c for c in batch.schema.names if c not in ("view0", "view1")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(p[:, k]) for k in range(3))], names=[*own, "quality", "p_text", "p_page"])
 
-    scored = features.mapInArrow(run_task, "doc_id long, quality double, p_text double, p_page double")
-    return scored.withColumn("kept", F.col("quality") >= threshold)
+    schema = kept.withColumns({c: F.lit(0.0) for c in ("quality", "p_text", "p_page")}).schema
+    return features.mapInArrow(run_task, schema)
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose quality reaches the threshold.
 
-    Rows are scored where they are, so that no text is shuffled and rows without an id or with
-    the same id are each judged by themselves.
+    Rows are kept beside their features, so that each text is read once and none is shuffled, and
+    rows without an id or with the same id are each judged by themselves.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(co_train(features_of(docs), labels))
-
-    @F.pandas_udf("double")
-    def quality(text, lang, source, n_chars):
-        import pandas as pd
-
-        if not len(text):
-            return pd.Series([], dtype="float64")
-        known = [None if pd.isna(n) else int(n) for n in n_chars]
-        rows = [both(*(None if not isinstance(v, str) else v for v in r[:3]), r[3]) for r in zip(text, lang, source, known, strict=True)]
-        # As 32-bit numbers, like the features that the models were fitted on.
-        return pd.Series(shared.value.score([np.array([r[v] for r in rows], "<f4").astype(np.float64) for v in (0, 1)])[:, 0])
-
-    return docs.filter(quality("text", "lang", "source", F.col("n_chars").cast("long")) >= threshold)
+    features = features_of(docs, rows=True)
+    return judged(features, co_train(features, labels)).filter(F.col("quality") >= threshold).select("row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted in order, each by a linear model over how often certain words and
-beginnings of words occur, which also sees the probabilities of the categories before it. In training those are out-of-fold predictions, so
-that a later model meets earlier probabilities as honest as those it will get when scoring.
-
-Labels give one bit, ``toxic``. The chain's other categories are weak labels made from it: toxic
-rows are ``insult`` or ``contempt`` if they have a word of that kind, and ``severe`` if they
-have three words or more of any kind. The words (fixed values below) serve for the labels of
-training only; what the models look at are the words and beginnings that the labelled rows
-themselves tell apart, in any language, chosen by how far their share of documents differs
-between toxic and other rows. No bar is set, as it would depend on the number of labelled rows; the
-models' penalty shrinks terms that differ by chance.
+beginnings of words occur, which also sees the probabilities of the categories before it. In
+training those are out-of-fold predictions, so that a later model meets earlier probabilities as
+honest as those it will get when scoring.
+
+Labels give one bit, ``toxic``; the chain's other categories are found in the labelled rows
+themselves. ``kind1`` to ``kind3`` part the toxic rows by which of the chosen terms they have
+(spherical k-means, started from the rows furthest apart, the largest kind first). ``severe`` are the
+third of the toxic rows that a model of toxicity alone, not fitted on them, is surest of. No list of
+words is given. What the models look at are the words and beginnings that the labelled rows tell
+apart, in any language, chosen by how far their share of documents differs between toxic and other rows.
+No bar is set, as it would depend on the number of labelled rows; the models' penalty shrinks
+terms that differ by chance.
 
 Shares are counted over a sample of labelled rows of bounded size, on executors; the driver gets
 that sample's counts, rows by chosen terms, and nothing else of the corpus. Every whole document
@@ -37,11 +39,10 @@ from meridia.llm.common import bounded_batches, documents, reliable
 from meridia.llm.linear import logistic, out_of_fold, predict
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Kinds of words for weak labels (fixed values).
-INSULT = ("idiot", "moron", "loser", "clown", "stupid", "fool", "imbecile")
-CONTEMPT = ("trash", "scum", "pathetic", "worthless", "disgusting", "garbage", "vermin")
-CATEGORIES = ("insult", "contempt", "toxic", "severe")
-SEVERE_WORDS = 3
+KINDS = 3
+CATEGORIES = (*(f"kind{k + 1}" for k in range(KINDS)), "toxic", "severe")
+#: Of toxic rows, the share that is severe; steps of k-means at most.
+SEVERE, STEPS = 1 / 3, 50
 #: Labelled rows that the chain is fitted on, about, however many there are.
 TRAIN_ROWS = 10_000
 TRAIN_TASKS = 32
@@ -70,8 +71,8 @@ class Vocabulary:
         self.whole = {t: i for t, i in self.place.items() if t[-1] != "*"}
 
     def counts(self, own: Mapping[str, int]) -> np.ndarray:
-        """How often each chosen term occurs, 255 at most; a long text has more of any."""
-        out = np.zeros(len(self.place), np.int64)
+        """How often each chosen term occurs."""
+        out = np.zeros(len(self.place), np.uint32)
         for w in own.keys() & self.whole.keys():
             out[self.whole[w]] += own[w]
         for k, starts in self.starts.items():
@@ -79,13 +80,47 @@ class Vocabulary:
                 for w, n in own.items():
                     if len(w) > k and (i := starts.get(w[:k])) is not None:
                         out[i] += n
-        return np.minimum(out, 255).astype(np.uint8)
+        return out
 
 
 def features(counts: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.hstack([np.log2(1.0 + counts), np.log2(1.0 + length)[:, None] / 4])
 
 
+def kinds(own: np.ndarray) -> np.ndarray:
+    """A kind (0 is the largest) for each toxic row, by the terms it has; rows of unit length."""
+    n = len(own)
+    if not n:
+        return np.zeros(0, np.int64)
+    unit = own / np.maximum(1e-9, np.linalg.norm(own, axis=1, keepdims=True))
+    first = [int(np.argmax(own.sum(axis=1)))]
+    while len(first) < min(KINDS, n):
+        first.append(int(np.argmin((unit @ unit[first].T).max(axis=1))))
+    centers, kind = unit[first], np.full(n, -1)
+    for _ in range(STEPS):
+        new = np.argmax(unit @ centers.T, axis=1)
+        if (new == kind).all():
+            break
+        kind = new
+        sums = np.array([unit[kind == k].sum(axis=0) for k in range(len(centers))])
+        centers = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
+    size = np.bincount(kind, minlength=len(centers))
+    return np.argsort(np.argsort(-size, kind="stable"), kind="stable")[kind]
+
+
+def categories(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Rows by CATEGORIES, from the bit that labels give; x are the features, the length last."""
+    out = np.zeros((len(x), len(CATEGORIES)))
+    at = np.flatnonzero(toxic)
+    more = x[at].mean(axis=0) > x[toxic == 0].mean(axis=0)
+    more[-1] = False
+    out[at, kinds((x[at][:, more] > 0).astype(np.float64))] = 1
+    out[:, KINDS] = toxic
+    sure = out_of_fold(x, toxic, l2=L2)[at]
+    out[at[np.argsort(-sure, kind="stable")[: round(SEVERE * len(at))]], KINDS + 1] = 1
+    return out
+
+
 class Chain:
     """Weights by category, over the features and the earlier categories' probabilities."""
 
@@ -95,7 +130,7 @@ class Chain:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         own = [words(t) for t in texts]
-        counts = np.array([self.counter.counts(w) for w in own], np.uint8).reshape(len(own), -1)
+        counts = np.array([self.counter.counts(w) for w in own], np.uint32).reshape(len(own), len(self.vocabulary))
         return features(counts, np.array([w.total() for w in own], np.float64))
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
@@ -133,19 +168,14 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matrix(chosen: list[str]):
-    """Map function: counts of the chosen terms, the length, and the weak labels."""
+    """Map function: counts of the chosen terms and the length."""
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Vocabulary(chosen)
         for batch in batches:
-            counts, lengths, labels = [], [], []
-            for toxic, own, n in zip(*(batch.column(c).to_pylist() for c in ("toxic", "words", "counts")), strict=True):
-                insult, contempt = len(set(own) & {*INSULT}), len(set(own) & {*CONTEMPT})
-                y = (insult > 0, contempt > 0, True, insult + contempt >= SEVERE_WORDS)
-                counts.append(counter.counts(dict(zip(own, n, strict=True))).tobytes())
-                lengths.append(sum(n))
-                labels.append(bytes(int(toxic and v) for v in y))
-            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(lengths, pa.int64()), pa.array(labels, pa.binary())], names=["x", "n", "y"])
+            own = [dict(zip(w, n, strict=True)) for w, n in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            counts, lengths = [counter.counts(w).astype("<u4").tobytes() for w in own], [sum(w.values()) for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(counts, pa.binary()), pa.array(lengths, pa.int64())], names=["toxic", "x", "n"])
 
     return run_task
 
@@ -169,11 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, chosen
     apart = counts.withColumn("apart", F.abs(share_a - share_b) / spread)
     best = apart.orderBy(F.desc("apart"), "term").limit(chosen)
     vocabulary = sorted(r.term for r in best.collect())
-    found = rows.mapInArrow(matrix(vocabulary), "x binary, n long, y binary").collect()
-    found.sort(key=lambda r: (r.y, r.n, r.x))  # the same order, whichever task they came from
-    x = np.frombuffer(b"".join(r.x for r in found), np.uint8).reshape(len(found), -1)
-    y = np.frombuffer(b"".join(r.y for r in found), np.uint8).reshape(len(found), -1)
-    return Chain.fitted(vocabulary, features(x, np.array([r.n for r in found], np.float64)), y.astype(np.float64))
+    found = rows.mapInArrow(matrix(vocabulary), "toxic int, x binary, n long").collect()
+    found.sort(key=lambda r: (r.toxic, r.n, r.x))  # the same order, whichever task they came from
+    counts = np.frombuffer(b"".join(r.x for r in found), "<u4").reshape(len(found), len(vocabulary))
+    x = features(counts, np.array([r.n for r in found], np.float64))
+    return Chain.fitted(vocabulary, x, categories(x, np.array([r.toxic for r in found], np.float64)))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -1,5 +1,8 @@
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -180,6 +183,42 @@ def test_language(spark, odd, no_documents):
     assert language.predict(no_documents, model).count() == 0
 
 
+def brute_buckets(text):
+    """Buckets of the n-grams of a text, one by one, in whole numbers."""
+    own = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+    if not own:
+        return []
+    own, out = f" {own} ", []
+    for i in range(len(own)):
+        h = 0
+        for n in range(min(language.ORDERS, len(own) - i)):
+            h = (h * 0x100000001B3 % 2**64) ^ (ord(own[i + n]) + n + 1)
+            out.append((h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language.BITS))
+    return out
+
+
+def test_language_by_counts(spark):
+    """Naive Bayes with a dictionary for each language, a text at a time."""
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    counts, texts = {}, Counter()
+    for i, t, lang in rows:
+        if lang is not None and t is not None and not held[i]:
+            counts.setdefault(lang, Counter()).update(brute_buckets(t))
+            texts[lang] += 1
+    total = {x: c.total() + language.SMOOTH * language.BUCKETS for x, c in counts.items()}
+    want = {}
+    for i, t, _ in rows:
+        own = Counter(brute_buckets(t))
+        odds = {x: math.log(texts[x] / texts.total()) + sum(n * math.log((counts[x][b] + language.SMOOTH) / total[x]) for b, n in own.items()) for x in counts}
+        best = max(sorted(odds), key=odds.get)
+        want[i] = (best, 1 / sum(math.exp(o - odds[best]) for o in odds.values())) if own else ("und", 0.0)
+    got = language.op8_language(spark, folder).collect()
+    assert {r.doc_id: (r.held_out, r.lang_pred) for r in got} == {i: (held[i], want[i][0]) for i in held}
+    np.testing.assert_allclose([r.score for r in got], [want[r.doc_id][1] for r in got], atol=1e-6)
+
+
 def test_language_scores_by_the_whole_text(monkeypatch):
     """Spans of a long text add up to the text."""
     rng = np.random.default_rng(1)
@@ -212,6 +251,90 @@ def test_quality(spark, odd, no_documents):
     assert quality.score(no_documents, labels).count() == quality.accept(no_documents, labels).count() == 0
 
 
+def test_quality_by_loops(spark):
+    """Co-training over a list of documents, one after the other: the same scores."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: [np.array(v, "<f4").astype(float) for v in quality.both(r.text, r.lang, r.source, r.n_chars)] for r in docs.collect()}
+    labelled = sorted((r.doc_id, float(r.quality)) for r in labels.collect() if r.quality is not None and r.doc_id in rows)
+    y = np.array([q for _, q in labelled])
+    raw = [np.array([rows[i][v] for i, _ in labelled]) for v in (0, 1)]
+    shift, scale = [x.mean(axis=0) for x in raw], [x.std(axis=0) + 1e-3 for x in raw]
+    even = lambda v, x: np.clip((x - shift[v]) / scale[v], -6, 6)
+    x = [even(v, raw[v]) for v in (0, 1)]
+
+    def fitted(more):
+        w = [linear.logistic(x[v], y, quality.L2, more=more[v]) for v in (0, 1)]
+        odds = [linear.log_odds(linear.out_of_fold(x[v], y, l2=quality.L2, more=more[v])) for v in (0, 1)]
+        return w, [linear.platt(o, y) for o in odds], odds
+
+    w, scales, odds = fitted([None, None])
+    p = lambda v, f: linear.sigmoid(scales[v][0] * linear.log_odds(linear.predict(f[None], w[v])) + scales[v][1])[0]
+    for _ in range(quality.ROUNDS):
+        taught = [{0.0: [], 1.0: []}, {0.0: [], 1.0: []}]
+        for views in rows.values():
+            f = [even(v, views[v]) for v in (0, 1)]
+            for v in (0, 1):
+                sure = p(1 - v, f[1 - v])
+                if sure <= 1 - quality.CONFIDENT or sure >= quality.CONFIDENT:
+                    taught[v][float(sure >= 0.5)].append(f[v])
+        more = []
+        for v in (0, 1):
+            d = len(w[v])
+            g, h = np.zeros(d), np.zeros((d, d))
+            for label, own in taught[v].items():
+                weight = min(1.0, (y == label).sum() / len(own)) if own else 0.0
+                for f in own:
+                    a = np.append(f, 1.0)
+                    q = 1 / (1 + math.exp(-float(a @ w[v])))
+                    g += weight * (q - label) * a
+                    h += weight * q * (1 - q) * np.outer(a, a)
+            more.append(linear.Quadratic(w[v], g, h) if any(taught[v].values()) else None)
+        w, scales, odds = fitted(more)
+    last = linear.logistic(np.stack([a * o + b for (a, b), o in zip(scales, odds, strict=True)], axis=1), y, l2=1e-2)
+    got = quality.score(docs, labels).collect()
+    want = []
+    for r in got:
+        own = [p(v, even(v, rows[r.doc_id][v])) for v in (0, 1)]
+        want.append([linear.predict(linear.log_odds(np.array([own])), last)[0], *own])
+    np.testing.assert_allclose([[r.quality, r.p_text, r.p_page] for r in got], want, atol=1e-5)
+
+
+def test_toxicity_by_loops(spark):
+    """Terms counted document by document, then the chain: the same probabilities."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: Counter(re.findall(r"[^\W\d_]+", (r.text or "").lower())) for r in docs.collect()}
+    rows = [(r.toxic, texts[r.doc_id]) for r in labels.collect() if r.toxic is not None and r.doc_id in texts]
+    having = {0: Counter(), 1: Counter()}
+    for toxic, own in rows:
+        having[toxic].update({*own} | {w[:k] + "*" for w in own for k in toxicity.BEGINNINGS if len(w) > k})
+    n = Counter(t for t, _ in rows)
+
+    def apart(term):
+        a, b = (having[1][term] + 0.5) / (n[1] + 1), (having[0][term] + 0.5) / (n[0] + 1)
+        return abs(a - b) / math.sqrt(a * (1 - a) / n[1] + b * (1 - b) / n[0])
+
+    terms = sorted(sorted(having[0].keys() | having[1].keys(), key=lambda t: (-round(apart(t), 9), t))[: toxicity.CHOSEN])
+    count = lambda own, t: sum(c for w, c in own.items() if (w.startswith(t[:-1]) and len(w) >= len(t) if t[-1] == "*" else w == t))
+    feature = lambda own: [*(math.log2(1 + count(own, t)) for t in terms), math.log2(1 + own.total()) / 4]
+    chain = toxicity.fit(docs, labels)
+    assert chain.vocabulary == terms
+    made = sorted((t, round(2 ** (4 * (f := feature(own))[-1]) - 1), [round(2**v - 1) for v in f[:-1]], f) for t, own in rows)
+    made.sort(key=lambda r: (r[0], r[1], np.array(r[2], "<u4").tobytes()))
+    x, toxic = np.array([r[3] for r in made]), np.array([r[0] for r in made], float)
+    y = toxicity.categories(x, toxic)
+    assert (y[:, : toxicity.KINDS].sum(axis=1) == toxic).all() and (y[:, -1] <= toxic).all()
+    weights, earlier = [], np.zeros((len(x), 0))
+    for k in range(y.shape[1]):
+        seen = np.hstack([x, earlier])
+        weights.append(linear.logistic(seen, y[:, k], toxicity.L2))
+        earlier = np.hstack([earlier, linear.out_of_fold(seen, y[:, k], l2=toxicity.L2)[:, None]])
+    for r in toxicity.score(docs, chain).collect():
+        f, p = feature(texts[r.doc_id]), []
+        for w in weights:
+            p.append(1 / (1 + math.exp(-sum(a * b for a, b in zip([*f, *p, 1.0], w, strict=True)))))
+        np.testing.assert_allclose([r[c] for c in toxicity.CATEGORIES], p, atol=1e-6)
+
+
 def test_toxicity(spark, odd, no_documents):
     docs, train, truth = held_out(spark, "/root/testdata/sf0.1")
     rows = [r for r in toxicity.score(docs, toxicity.fit(docs, train)).collect() if r.doc_id in truth]
