@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts can be very long, so Spark's default of 10,000 is too many.
 BATCH_ROWS = 256
+#: Rows of a few numbers each up to which a table is broadcast (some 50 MB), by its count.
+FEW_ROWS = 1_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -47,16 +49,29 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chosen(docs: DataFrame, kept: DataFrame, key: str, best: Column) -> DataFrame:
-    """One row of ``docs`` (all columns but ``key``) for each row (doc_id, key) of ``kept``, null ids
-    included: of several with that doc_id and key, the one that has the largest ``best``."""
-    columns = [c for c in docs.columns if c != key]
-    same = F.xxhash64(key, "doc_id")  # rows of one key are dealt by their ids as well
-    left = docs.withColumn("_same", same)
-    right = kept.select(F.col("doc_id").alias("_id"), F.col(key).alias("_key"), same.alias("_same"))
-    rows = left.join(right, "_same").filter(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(key) == F.col("_key")))
-    one = rows.groupBy("_same", "_id", "_key").agg(F.max_by(F.struct(*columns), best).alias("_row"))
-    return one.select("_row.*")
+def row_names(text: str = "text") -> list[Column]:
+    """doc_id, k1 and k2: with 128 bits that stand for its text, a row's name."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), *(F.xxhash64(F.lit(i), F.col(text).cast("binary")).alias(f"k{i}") for i in (1, 2))]
+
+
+def sized(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """The checkpointed rows, to be broadcast if there are so few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` but for the rows that ``judged`` (doc_id, k1, k2, stays) names;
+    of those with one name that stays, one stays. Rows that are not named stay where they are,
+    as long as FEW_ROWS are named at most."""
+    judged = reliable(judged.select("doc_id", "k1", "k2", "stays"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_names()).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("d.k1") == F.col("j.k1")) & (F.col("d.k2") == F.col("j.k2"))
+    out = rows.join(sized(judged).alias("j"), same, "left_anti").select("row.*")
+    staying = judged.filter("stays")
+    if not staying.isEmpty():
+        alike = rows.join(sized(staying).alias("j"), same, "left_semi")
+        out = out.unionByName(alike.groupBy("doc_id", "k1", "k2").agg(F.first("row").alias("row")).select("row.*"))
+    return out
 
 
 def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import bounded_batches, chosen, documents, parts, reliable
+from meridia.llm.common import bounded_batches, documents, parts, reliable, row_names, without
 
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = np.iinfo(np.int64).max
 ENTRY = np.dtype([("key", "V32"), ("lead", ">u8"), ("chars", "<i8"), ("id", "<i8"), ("count", "<i8")])
-FLUSH = "doc_id long, sha binary, chars long, shard int, run string, entries binary, filter binary"
+FLUSH = "doc_id long, k1 long, k2 long, sha binary, chars long, shard int, run string, entries binary, filter binary"
 PROBES = 4
 #: Rows of hits in a batch, and tasks that make a filter over them.
 HIT_ROWS, FILTER_TASKS = 65_536, 8
@@ -139,12 +139,12 @@ def memtables(shards: int, limit: int, digest_bytes: int):
         none = pa.nulls
         yield pa.RecordBatch.from_arrays(
             [
-                none(n, pa.int64()), none(n, pa.binary()), none(n, pa.int64()),
+                none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.int64()),
                 pa.array(shard[ends].astype(np.int32)), pa.array([run] * n),
                 pa.array([x.tobytes() for x in pieces], pa.binary()),
                 pa.array([Filter.of(x["key"]).bits.tobytes() for x in pieces], pa.binary()),
             ],
-            names=["doc_id", "sha", "chars", "shard", "run", "entries", "filter"],
+            names=["doc_id", "k1", "k2", "sha", "chars", "shard", "run", "entries", "filter"],
         )
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +157,10 @@ def memtables(shards: int, limit: int, digest_bytes: int):
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(chars, pa.int64()),
+                    pa.array(ids, pa.int64()), batch.column("k1"), batch.column("k2"), pa.array(shas, pa.binary()), pa.array(chars, pa.int64()),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                 ],
-                names=["doc_id", "sha", "chars", "shard", "run", "entries", "filter"],
+                names=["doc_id", "k1", "k2", "sha", "chars", "shard", "run", "entries", "filter"],
             )
             for doc, length, sha in zip(ids, chars, shas, strict=True):
                 key, doc = sha[:digest_bytes].ljust(32, b"\0"), NO_ID if doc is None else doc
@@ -235,15 +235,15 @@ def hit_texts(shared, digest_bytes: int):
             rows = np.flatnonzero(held.may_hold(keys))
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows)), batch.column("chars").take(pa.array(rows)), pa.array([keys[i].tobytes()[:digest_bytes] for i in rows], pa.binary()), pa.array([bodies[i] for i in rows], pa.binary())],
-                    names=["doc_id", "chars", "key", "body"],
+                    [*(batch.column(c).take(pa.array(rows)) for c in ("doc_id", "k1", "k2", "chars")), pa.array([keys[i].tobytes()[:digest_bytes] for i in rows], pa.binary()), pa.array([bodies[i] for i in rows], pa.binary())],
+                    names=["doc_id", "k1", "k2", "chars", "key", "body"],
                 )
 
     return run_task
 
 
-def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int = 64 << 20, digest_bytes: int = 32) -> DataFrame:
-    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_rows(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int = 64 << 20, digest_bytes: int = 32) -> DataFrame:
+    """A row for each document: doc_id, k1, k2, chars, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``; of equal texts,
     the row with the most code points in its original text stays, then the smallest doc_id.
@@ -255,9 +255,9 @@ def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int
     spark = docs.sparkSession
     bounded_batches(spark)
     shards = max(64, 4 * parts(spark))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    texts = docs.select(*row_names(), F.col("text").cast("binary").alias("text"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
     flushed = reliable(texts.mapInArrow(memtables(shards, memtable_rows, digest_bytes), FLUSH))
-    rows = flushed.filter("shard is null").select("doc_id", "sha", F.substring("sha", 1, digest_bytes).alias("key"))
+    rows = flushed.filter("shard is null").select("doc_id", "k1", "k2", "chars", "sha", F.substring("sha", 1, digest_bytes).alias("key"))
     runs = flushed.filter("shard is not null").select("shard", "run", "entries", "filter")
     index = reliable(
         runs.repartition("shard").sortWithinPartitions("shard", "run")
@@ -269,7 +269,7 @@ def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int
     for r in index.select("key").coalesce(FILTER_TASKS).mapInArrow(filters_of(bits), "bits binary").toLocalIterator():
         filled |= np.frombuffer(r.bits, np.uint8)
     shared = spark.sparkContext.broadcast(filled.tobytes())
-    hits = texts.mapInArrow(hit_texts(shared, digest_bytes), "doc_id long, chars long, key binary, body binary")
+    hits = texts.mapInArrow(hit_texts(shared, digest_bytes), "doc_id long, k1 long, k2 long, chars long, key binary, body binary")
     verified = reliable(hits.groupBy("key").agg((F.min("body") == F.max("body")).alias("same")))
     stands = index.join(verified.filter("same"), "key").select("key", "keep_id", "group_size")
     clashing = verified.filter("not same").select("key")
@@ -279,10 +279,10 @@ def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int
         keep = F.min_by("doc_id", F.struct(-F.col("chars"), F.coalesce("doc_id", F.lit(int(NO_ID))))).alias("keep_id")
         own = hits.join(clashing, "key", "left_semi")
         classes = own.groupBy("key", "body").agg(keep, F.count(F.lit(1)).alias("group_size"))
-        by_bytes = own.join(classes, ["key", "body"]).select("key", "doc_id", F.unhex(F.sha2("body", 256)).alias("sha"), "keep_id", "group_size")
+        by_bytes = own.join(classes, ["key", "body"]).select("key", "doc_id", "k1", "k2", own["chars"], F.unhex(F.sha2("body", 256)).alias("sha"), "keep_id", "group_size")
         out = out.join(clashing, "key", "left_anti").unionByName(by_bytes)
     return out.select(
-        "doc_id",
+        "doc_id", "k1", "k2", "chars",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
@@ -290,23 +290,20 @@ def exact_groups(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int
     )
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """All rows and columns, and text_sha256 as ``exact_groups`` has it."""
-    bounded_batches(docs.sparkSession)
-
-    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shas = [hashlib.sha256((t or "").encode().translate(None, SPACES)).hexdigest() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shas, pa.string())], names=[*batch.schema.names, "text_sha256"])
-
-    return docs.mapInArrow(run_task, docs.withColumn("text_sha256", F.lit("")).schema)
+def exact_groups(docs: DataFrame, **parameters: int) -> DataFrame:
+    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256; see ``exact_rows``."""
+    return exact_rows(docs, **parameters).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of equal texts, the row that ``exact_groups`` keeps, all columns; null and repeated ids included."""
-    kept = exact_groups(docs).filter("kept").select("keep_id", "text_sha256").distinct()
-    best = F.struct(F.coalesce(F.length("text"), F.lit(0)), "text")
-    return chosen(hashed(docs), kept.withColumnRenamed("keep_id", "doc_id"), "text_sha256", best)
+    """Of equal texts the row that ``exact_rows`` keeps, all columns, null and repeated ids included; of
+    several with its id, the longest original text, then the smallest hash of it."""
+    rows = reliable(exact_rows(docs).filter("group_size > 1"))
+    first = F.struct(~F.col("kept"), -F.col("chars"), "k1", "k2").alias("order")
+    best = rows.groupBy("text_sha256").agg(F.min_by(F.struct("doc_id", "k1", "k2"), first).alias("best"))
+    named = rows.groupBy("text_sha256", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")).join(best, "text_sha256")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
+    return without(docs, named.withColumn("stays", stays).filter("not stays or rows > 1"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,14 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import bounded_batches, larger, reliable
+from meridia.llm.common import bounded_batches, larger, reliable, row_names, sized, without
 from meridia.llm.graph import components
 from meridia.llm.simhash import SEED, links
 
 #: Bits by which fingerprints of sets may differ to be looked at first, and ranges of bits.
 THRESHOLD, PIECES, BLOCK = 4, 3, 4096
-#: Longs of a parity bitmap.
-BITS = 8
+#: Longs of a parity bitmap in a cell, and classes of a set's own at most.
+BITS, MOST_CLASSES = 8, 1 << 16
 #: Turns in which a cell's sets are held against one of them.
 TURNS = 1
 #: Texts whose shingles are counted for an order by frequency, and frequent ones that go to the driver.
@@ -54,10 +54,8 @@ ORDER_SHINGLES = 100_000
 ASKED, LARGE = 64, 16_384
 #: Rows of cells that are looked at together, and members up to which each is held against each.
 CELL_ROWS, WHOLE_CELL = 1 << 16, 2048
-#: Bits of the filter for candidates' texts (4 MB), and texts that a task remembers to send each once.
-FILTER_BITS, SEEN = 1 << 25, 1 << 18
-#: Pairs up to which they are sent to the sets (16 MB), rather than the sets to them.
-FEW_PAIRS = 1_000_000
+#: Sets that a task remembers, to send each once.
+SEEN = 1 << 18
 #: For rounding: what a bound on members is lowered by.
 SLACK = 1e-6
 
@@ -93,15 +91,23 @@ def vote(hashes: np.ndarray) -> int:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * BITS classes of hashes, whether the set has an odd number of them.
+    """For each of some classes of hashes, whether the set has an odd number of them.
 
-    Two sets' bitmaps differ in as many bits as the sets differ in members, at most.
+    Two sets' bitmaps differ in as many bits as the sets differ in members, at most. There are as
+    many classes as members, in powers of two, so that bitmaps of sets that differ a lot do so too.
     """
     classes = 64 * BITS
+    while classes < min(len(hashes), MOST_CLASSES):
+        classes *= 2
     odd = np.bincount((hashes % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def folded(bitmap: np.ndarray, longs: int) -> np.ndarray:
+    """A bitmap over fewer classes."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, longs), axis=0)
+
+
 def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """Hashes that several texts of a bounded sample have, the most frequent last.
 
@@ -121,7 +127,7 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
 
 
-SKETCH = "doc_id long, k1 long, k2 long, set_key long, n int, fp long, prefix array<long>, bits array<long>"
+SKETCH = "doc_id long, k1 long, k2 long, set_key long, n int, fp long, prefix array<long>, bits array<long>, wide binary"
 
 
 def sketch(width: int, similarity: float, common):
@@ -141,20 +147,17 @@ def sketch(width: int, similarity: float, common):
 
         for batch in batches:
             sets = [shingle_hashes(t or b"", width) for t in batch.column("text").to_pylist()]
+            wide = [parity(s) for s in sets]
             made = [
                 pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([vote(s) for s in sets], pa.int64()),
-                pa.array([rarest(s) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([rarest(s) for s in sets], pa.list_(pa.int64())), pa.array([folded(w, BITS) for w in wide], pa.list_(pa.int64())),
+                pa.array([w.tobytes() for w in wide], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *made], names=["doc_id", "k1", "k2", "set_key", "n", "fp", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *made], names=["doc_id", "k1", "k2", "set_key", "n", "fp", "prefix", "bits", "wide"])
 
     return run_task
 
 
-def named_rows(docs: DataFrame) -> DataFrame:
-    """The rows with k1 and k2, 128 bits that stand for their text."""
-    return docs.withColumns({f"k{i}": F.xxhash64(F.lit(i), "text") for i in (1, 2)})
-
-
 def may_be_similar(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m members whose first common one is at these places can be similar."""
     return np.minimum(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - SLACK
@@ -247,36 +250,39 @@ def cells_of(sets: DataFrame, similarity: float) -> DataFrame:
     return reliable(rows.mapInArrow(shared_cells(similarity, True), schema + "".join(f", {b} long" for b in BITMAP)).drop("salt"))
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, members) for each wanted set (set_key and k1 of a text that has it); members are its sorted hashes.
+def near_bitmaps(similarity: float):
+    """Map function: of pairs with sizes and own bitmaps, those that can be similar by them."""
+    share = similarity / (1 + similarity)
+
+    def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                longs = min(len(p), len(q))
+                apart = int(np.bitwise_count(folded(p, longs) ^ folded(q, longs)).sum())
+                keep.append(apart <= (1 - 2 * share) * (n + m) + SLACK)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run_task
 
-    A bitmap of FILTER_BITS over k1 goes out first, whatever the number of sets; only texts that it
-    lets through are read again. A full bitmap costs a larger shuffle and loses nothing.
-    """
-    place = F.pmod("k1", F.lit(FILTER_BITS))
-    # The built-in bitmaps count from 1: position 0 of bucket 1 is value 1.
-    own = wanted.select((place + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    filled = bytearray(FILTER_BITS // 8)
-    for r in own.toLocalIterator():
-        filled[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
-    shared = texts.sparkSession.sparkContext.broadcast(bytes(filled))
+
+def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, members) for each wanted set (set_key, and k1 and k2 of a text that has it); members are its sorted hashes."""
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = np.frombuffer(shared.value, np.uint8), set()
+        seen: set[int] = set()
         for batch in batches:
-            at = batch.column("k1").to_numpy().astype(np.int64) % FILTER_BITS
-            rows = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             keys, sets = [], []
-            for t in batch.column("text").take(pa.array(rows)).to_pylist():
-                own = shingle_hashes(t or b"", width)
-                if (key := set_key(own)) not in seen:
-                    keys.append(key), sets.append(own.tobytes())
+            for key, t in zip(batch.column("set_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if key not in seen:
+                    keys.append(key), sets.append(shingle_hashes(t or b"", width).tobytes())
                     if len(seen) < SEEN:
                         seen.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "members"])
 
-    some = texts.select("k1", "text").mapInArrow(run_task, "key long, members binary")
-    return some.join(wanted.select(F.col("set_key").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"])
+    some = texts.select("k1", "k2", "text").join(sized(reliable(wanted)), ["k1", "k2"]).select("set_key", "text")
+    return some.mapInArrow(run_task, "key long, members binary").dropDuplicates(["key"])
 
 
 def similar(similarity: float):
@@ -309,22 +315,25 @@ def similar_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> tu
     """Sketched rows (doc_id, k1, k2, set_key), and (node, root) for each set_key that is linked to another."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = named_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")))
+    texts = docs.select(*row_names(), F.col("text").cast("binary").alias("text"))
     common = spark.sparkContext.broadcast(common_shingles(texts.select("text"), width))
     rows = reliable(texts.select("doc_id", "k1", "k2", "text").mapInArrow(sketch(width, similarity, common), SKETCH))
-    sets = reliable(rows.groupBy("set_key").agg(F.min("k1").alias("k1"), *(F.first(c).alias(c) for c in ("n", "fp", "prefix", "bits"))))
+    sets = reliable(rows.groupBy("set_key").agg(F.min(F.struct("k1", "k2")).alias("of"), *(F.first(c).alias(c) for c in ("n", "fp", "prefix", "bits", "wide"))))
     cells = cells_of(sets, similarity)
-    wanted = cells.select(F.col("key").alias("set_key")).distinct().join(sets.select("set_key", "k1"), "set_key")
-    held = reliable(sets_of(texts, wanted, width))
-    x, y = held.select(F.col("key").alias("a"), F.col("members").alias("x")), held.select(F.col("key").alias("b"), F.col("members").alias("y"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = reliable(pairs)
-        few = pairs.count() <= FEW_PAIRS
+    def beside(pairs: DataFrame, table: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+        """Pairs with columns of both their sets; ``table`` is moved only where pairs need it, if they are few."""
         ends = pairs.select("b").distinct()
-        left = (F.broadcast(pairs) if few else pairs).join(x, "a")
-        right = y.join(F.broadcast(ends) if few else ends, "b", "left_semi")
-        return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(similar(similarity), "a long, b long")
+        a = table.select(F.col("key").alias("a"), *(F.col(c).alias(names[0]) for c, names in columns.items()))
+        b = table.select(F.col("key").alias("b"), *(F.col(c).alias(names[1]) for c, names in columns.items()))
+        return sized(pairs).join(a, "a").join(b.join(sized(reliable(ends)), "b", "left_semi"), "b")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        by_bits = beside(reliable(pairs), sets.withColumnRenamed("set_key", "key"), {"n": ("n", "m"), "wide": ("x", "y")})
+        pairs = reliable(by_bits.select("a", "b", "n", "m", "x", "y").mapInArrow(near_bitmaps(similarity), "a long, b long"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+        held = reliable(sets_of(texts, sets.join(sized(reliable(ends)), "set_key").select("set_key", "of.*"), width))
+        return beside(pairs, held, {"members": ("x", "y")}).select("a", "b", "x", "y").mapInArrow(similar(similarity), "a long, b long")
 
     roots = reliable(components(confirmed(fingerprint_pairs(sets))))
     for turn in (*range(1, TURNS + 1), None):
@@ -367,19 +376,8 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     of rows with one id and unlike texts, the one with the smallest hash of its text stays."""
     own = reliable(similar_classes(docs, similarity, width))
     row = ("doc_id", "k1", "k2")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *row)).alias("first")
-    kept = own.groupBy("root").agg(first).select("first.*").drop("none").withColumn("stays", F.lit(True))
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in row]
-    counted = own.groupBy(*row).agg(F.count(F.lit(1)).alias("rows"))
-    judged = counted.alias("x").join(kept.alias("y"), same[0] & same[1] & same[2], "left").select("x.*", F.coalesce("y.stays", F.lit(False)).alias("stays"))
-    # Only rows that go, or that stay for several alike, are named; the others are left where they are.
-    judged = reliable(judged.filter("not stays or rows > 1"))
-    named = docs.withColumns({f"_k{i}": F.xxhash64(F.lit(i), F.col("text").cast("binary")) for i in (1, 2)})
-    on = [F.col("d.doc_id").cast("long").eqNullSafe(F.col("j.doc_id")), F.col("d._k1") == F.col("j.k1"), F.col("d._k2") == F.col("j.k2")]
-    out = named.alias("d").join(judged.alias("j"), on, "left_anti").drop("_k1", "_k2")
-    repeated = judged.filter("stays")
-    if not repeated.isEmpty():
-        alike = named.alias("d").join(repeated.alias("j"), on, "left_semi")
-        one = alike.groupBy("doc_id", "_k1", "_k2").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-        out = out.unionByName(one.select("_row.*"))
-    return out
+    first = F.min_by(F.struct(*row), F.struct(F.col("doc_id").isNull(), *row)).alias("first")
+    kept = own.groupBy("root").agg(first, F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    named = own.join(kept, "root").groupBy("root", *row, "first").agg(F.count(F.lit(1)).alias("rows"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    return without(docs, named.withColumn("stays", stays).filter("not stays or rows > 1"))
