@@ -189,13 +189,13 @@ def stop_times_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_days(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter(F.col("event_id") % 7 == 0)
+    e = table(spark, d, "events")
     return schedule.service_days(e.select(F.lit("A").alias("agency_code"), F.col("event_type").alias("service_id"), F.to_date("ts").alias("date")).distinct(), "agency_code", "service_id")
 
 
 FREQUENCY = f"""
 {VISITS},
-days AS (SELECT DISTINCT event_type, dayname(date) AS day_type FROM v WHERE event_id % 7 = 0),
+days AS (SELECT DISTINCT event_type, dayname(date) AS day_type FROM v),
 freq AS (
   SELECT 'A' AS agency_code, user_id AS stop_id, day_type, CAST(CAST(split_part(t, ':', 1) AS INTEGER) % 24 AS INTEGER) AS arrival_hour, count(*) AS trip_count
   FROM v JOIN days USING (event_type) GROUP BY ALL
@@ -348,7 +348,7 @@ a AS (
          max(CASE WHEN has_shelter THEN 1 ELSE 0 END) = 1 AS has_shelter, CAST(sum(CASE WHEN in_tree_shadow THEN 1 ELSE 0 END) AS BIGINT) AS tree_shade_hours FROM m GROUP BY 1
 )
 SELECT osm_node_id, hours_measured, {round_sql('score', 3)} AS exposure_score_hours, {round_sql('score / hours_measured', 3)} AS pct_exposure_score, hours_exposed_binary,
-       {round_sql('CAST(hours_exposed_binary AS DOUBLE) / hours_measured', 3)} AS pct_hours_exposed_binary, has_shelter, {level_sql('round(score, 6)')} AS risk_level,
+       {round_sql('CAST(hours_exposed_binary AS DOUBLE) / hours_measured', 3)} AS pct_hours_exposed_binary, has_shelter, {level_sql('score')} AS risk_level,
        CASE WHEN hours_exposed_binary = hours_measured THEN 'high' WHEN hours_exposed_binary = 0 THEN 'low' ELSE 'medium' END AS risk_level_binary,
        CAST(ntile(10) OVER (ORDER BY {round_sql('score', 6)}, osm_node_id) AS BIGINT) AS exposure_decile, n = 1 AS risk_level_stable, tree_shade_hours, o_custkey % 5 AS n_trees_20m
 FROM a LEFT JOIN st USING (osm_node_id) LEFT JOIN orders ON o_orderkey = osm_node_id
@@ -356,7 +356,7 @@ FROM a LEFT JOIN st USING (osm_node_id) LEFT JOIN orders ON o_orderkey = osm_nod
 def heat_risk(spark: SparkSession, d: str) -> DataFrame:
     """Exposure, risk, decile and stability by stop."""
     trees = table(spark, d, "orders").select(F.col("o_orderkey").alias("osm_node_id"), (F.col("o_custkey") % 5).alias("n_trees_20m"))
-    return exposure.heat_risk(measured(spark, d), risk_sensitivity(spark, d), trees)
+    return exposure.heat_risk(measured(spark, d), None, trees)
 
 
 @query(f"""
@@ -526,7 +526,7 @@ def combined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     hourly, waits, bridge = hours_of(spark, d), stop_waits(spark, d), matches(spark, d)
     stops = table(spark, d, "customer").select(k.cast("string").alias("osm_node_id"), F.col("c_name").alias("name"), (lon_of(k) + F.lit(2e-7)).alias("lon"), (lat_of(k) + F.lit(2e-7)).alias("lat"))
     trees = table(spark, d, "customer").select(k.cast("string").alias("osm_node_id"), (k % 4).alias("n_trees_20m"))
-    risk = exposure.heat_risk(hourly, exposure.risk_sensitivity(hourly), trees)
+    risk = exposure.heat_risk(hourly, None, trees)
     return exposure.heat_wait_hourly(hourly, stops, bridge, waits, risk), risk, bridge, waits
 
 
@@ -546,7 +546,7 @@ ra AS (
 ),
 risk AS (
   SELECT osm_node_id, k, hours_measured, {round_sql('score', 3)} AS exposure_score_hours, {round_sql('score / hours_measured', 3)} AS pct_exposure_score, hours_exposed_binary,
-         {round_sql('CAST(hours_exposed_binary AS DOUBLE) / hours_measured', 3)} AS pct_hours_exposed_binary, has_shelter, {level_sql('round(score, 6)')} AS risk_level,
+         {round_sql('CAST(hours_exposed_binary AS DOUBLE) / hours_measured', 3)} AS pct_hours_exposed_binary, has_shelter, {level_sql('score')} AS risk_level,
          CASE WHEN hours_exposed_binary = hours_measured THEN 'high' WHEN hours_exposed_binary = 0 THEN 'low' ELSE 'medium' END AS risk_level_binary,
          CAST(ntile(10) OVER (ORDER BY {round_sql('score', 6)}, osm_node_id) AS BIGINT) AS exposure_decile, stable AS risk_level_stable, tree_shade_hours, k % 4 AS n_trees_20m
   FROM ra JOIN stab USING (osm_node_id)
@@ -613,35 +613,41 @@ def joined_sql(c: str, digits: int, source: str = "hw") -> str:
 @query(f"""
 WITH {COMBINED}
 SELECT osm_node_id AS id, any_value(stop_name) AS n, round_even(any_value(lon), 5) AS lo, round_even(any_value(lat), 5) AS la, {joined_sql('exposure_score', 3)} AS s,
-       {joined_sql('wait_minutes_high', 1)} AS wh, CAST(any_value(exposure_decile) AS BIGINT) AS dc, CASE WHEN any_value(risk_level_stable) THEN 1 ELSE 0 END AS st,
+       {joined_sql('wait_minutes', 1)} AS w, {joined_sql('wait_minutes_low', 1)} AS wl, {joined_sql('wait_minutes_high', 1)} AS wh, CAST(any_value(exposure_decile) AS BIGINT) AS dc, CASE WHEN any_value(risk_level_stable) THEN 1 ELSE 0 END AS st,
        any_value(tree_shade_hours) AS ts, any_value(n_trees_20m) AS nt FROM hw GROUP BY 1
 """)
 def main_payload(spark: SparkSession, d: str) -> DataFrame:
     """The map's stops, hours as lists."""
     out = payload.main_payload(combined(spark, d)[0])
-    return out.select("id", "n", "lo", "la", joined(F.col("s"), 3).alias("s"), joined(F.col("wh"), 1).alias("wh"), "dc", "st", "ts", "nt")
+    return out.select("id", "n", "lo", "la", joined(F.col("s"), 3).alias("s"), *[joined(F.col(c), 1).alias(c) for c in ("w", "wl", "wh")], "dc", "st", "ts", "nt")
 
 
 @query(f"""
 WITH {COMBINED}
-SELECT osm_node_id AS id, any_value(stop_name) AS n, any_value(has_shelter) AS sh, CASE WHEN any_value(risk_level_stable) THEN 1 ELSE 0 END AS st,
+SELECT osm_node_id AS id, any_value(stop_name) AS n, round_even(any_value(lon), 5) AS lo, round_even(any_value(lat), 5) AS la, any_value(has_shelter) AS sh, CASE WHEN any_value(risk_level_stable) THEN 1 ELSE 0 END AS st,
        {round_sql('sum(exposure_score)', 3)} AS e, {joined_sql('exposure_score', 3)} AS h FROM hw GROUP BY 1
 """)
 def exposure_payload(spark: SparkSession, d: str) -> DataFrame:
     out = payload.exposure_payload(combined(spark, d)[0])
-    return out.select("id", "n", "sh", "st", "e", joined(F.col("h"), 3).alias("h"))
+    return out.select("id", "n", "lo", "la", "sh", "st", "e", joined(F.col("h"), 3).alias("h"))
+
+
+def wait_sql(c: str) -> str:
+    return joined_sql(c, 1).replace("ORDER BY hour", "ORDER BY f.hour")
 
 
 @query(f"""
 WITH {MIXED},
 full_ AS (SELECT stop_id, CAST(hour AS INTEGER) AS hour FROM (SELECT DISTINCT stop_id FROM mixed), (SELECT unnest(generate_series(13, 19)) AS hour))
-SELECT CAST(f.stop_id AS VARCHAR) AS id, 'stop ' || f.stop_id AS n, {joined_sql('wait_least_frequent_minutes', 1).replace('ORDER BY hour', 'ORDER BY f.hour')} AS wh,
+SELECT CAST(f.stop_id AS VARCHAR) AS id, 'stop ' || f.stop_id AS n, round_even({lon_sql('f.stop_id')}, 5) AS lo, round_even({lat_sql('f.stop_id')}, 5) AS la,
+       {wait_sql('wait_mixed_minutes')} AS w, {wait_sql('CASE WHEN wait_any_line_minutes IS NOT NULL THEN least(wait_any_line_minutes, wait_mixed_minutes) END')} AS wl,
+       {wait_sql('wait_least_frequent_minutes')} AS wh,
        string_agg(CAST(coalesce(n_lines, 0) AS VARCHAR), ',' ORDER BY f.hour) AS nl
 FROM full_ f LEFT JOIN mixed m ON m.stop_id = f.stop_id AND m.hour = f.hour GROUP BY f.stop_id
 """)
 def wait_payload(spark: SparkSession, d: str) -> DataFrame:
     out = payload.wait_payload(stop_waits(spark, d))
-    return out.select("id", "n", joined(F.col("wh"), 1).alias("wh"), F.array_join(F.transform("nl", lambda v: v.cast("string")), ",").alias("nl"))
+    return out.select("id", "n", "lo", "la", *[joined(F.col(c), 1).alias(c) for c in ("w", "wl", "wh")], F.array_join(F.transform("nl", lambda v: v.cast("string")), ",").alias("nl"))
 
 
 @query(f"SELECT round_even(min({lon_sql('c_custkey')}), 5) AS west, round_even(min({lat_sql('c_custkey')}), 5) AS south, round_even(max({lon_sql('c_custkey')}), 5) AS east, round_even(max({lat_sql('c_custkey')}), 5) AS north FROM customer")
@@ -800,7 +806,7 @@ def hot_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {MEASURED}
+WITH {SENSITIVITY}
 SELECT 'stop id is present' AS expectation, count(*) AS violations FROM m WHERE osm_node_id IS NULL
 UNION ALL SELECT 'stop and hour are unique', count(*) FROM (SELECT 1 FROM m GROUP BY osm_node_id, hour HAVING count(*) > 1)
 UNION ALL SELECT 'hour is one of four', count(*) FROM m WHERE hour NOT IN (13, 14, 15, 16)
@@ -810,7 +816,10 @@ UNION ALL SELECT 'never both shadows', count(*) FROM m WHERE in_building_shadow
 UNION ALL SELECT 'three hours a stop', count(*) FROM (SELECT o_orderkey FROM orders LEFT JOIN m ON osm_node_id = o_orderkey GROUP BY 1 HAVING count(m.hour) <> 3)
 UNION ALL SELECT 'sheltered share', count(*) FROM (SELECT avg(CASE WHEN has_shelter THEN 1.0 ELSE 0.0 END) AS s FROM m) WHERE s > 0.12
 UNION ALL SELECT 'seven hours', count(*) FROM (SELECT count(DISTINCT hour) AS n FROM m) WHERE n <> 7
-UNION ALL SELECT 'scores agree', 0
+UNION ALL SELECT 'scores agree', count(*) FROM (
+  SELECT osm_node_id FROM (SELECT osm_node_id, sum(exposure_score) AS a FROM m GROUP BY 1) x
+  FULL JOIN (SELECT osm_node_id, exposure_score_hours AS b FROM sens WHERE shelter_factor = 0.5) y USING (osm_node_id)
+  WHERE a IS NULL OR b IS NULL OR abs(a - b) > 1e-6)
 """)
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     """Violations by expectation over the measured hours."""
@@ -818,15 +827,18 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("osm_node_id"))
     again = m.groupBy("osm_node_id").agg(S.rounded(F.sum("exposure_score"), 6).alias("v"))
     base = exposure.risk_sensitivity(m).filter("shelter_factor = 0.5").select("osm_node_id", F.col("exposure_score_hours").alias("v"))
-    return expectations.report({
-        "stop id is present": expectations.not_null(m, "osm_node_id"),
+    allowed = lambda c, *values: F.col(c).isNull() | F.col(c).isin(*values)
+    rows = expectations.row_rules(m, {
+        "stop id is present": F.col("osm_node_id").isNotNull(),
+        "hour is one of four": allowed("hour", 13, 14, 15, 16),
+        "score is allowed": allowed("exposure_score", 0.0, 0.03, 0.5, 1.0),
+        "never both shadows": ~(F.col("in_building_shadow") & F.col("in_tree_shadow")),
+    })
+    return rows.unionByName(expectations.report({
         "stop and hour are unique": expectations.unique(m, "osm_node_id", "hour"),
-        "hour is one of four": expectations.accepted(m, "hour", (13, 14, 15, 16)),
         "stop is an order": expectations.relationship(m, "osm_node_id", orders, "osm_node_id"),
-        "score is allowed": expectations.accepted(m, "exposure_score", (0.0, 0.03, 0.5, 1.0)),
-        "never both shadows": expectations.holds(m, ~(F.col("in_building_shadow") & F.col("in_tree_shadow"))),
         "three hours a stop": expectations.rows_per_key(m, ["osm_node_id"], 3, orders),
         "sheltered share": expectations.share_at_most(m, F.col("has_shelter"), 0.12),
         "seven hours": expectations.row_count(m, 7, "hour"),
         "scores agree": expectations.same(again, base, ["osm_node_id"], "v", 1e-6),
-    })
+    }))

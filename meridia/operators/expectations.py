@@ -71,6 +71,21 @@ def same(a: DataFrame, b: DataFrame, keys: Iterable[str], column: str, tolerance
     return both.filter(missing | F.coalesce(differs, F.lit(False)))
 
 
+def distinct_from(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows whose two columns differ, a null being equal to a null and to nothing else."""
+    return df.filter(~F.col(a).eqNullSafe(F.col(b)))
+
+
+def row_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """A row for each rule: its name and how many rows break it, in one pass over the rows.
+
+    A rule is a condition that holds; where it can't be told it is broken.
+    """
+    counts = df.agg(*[F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"r{i}") for i, rule in enumerate(rules.values())])
+    pairs = F.array(*[F.struct(F.lit(name).alias("expectation"), F.col(f"r{i}").alias("violations")) for i, name in enumerate(rules)])
+    return counts.select(F.inline(pairs))
+
+
 def report(checks: dict[str, DataFrame]) -> DataFrame:
     """A row for each expectation: its name and how many violations there are."""
     rows = [v.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("expectation"), "violations") for name, v in checks.items()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.config import DEFAULTS, Params
@@ -19,41 +19,71 @@ def scored(hourly: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return hourly.withColumn("exposure_score", S.exposure_weight(F.col("in_building_shadow"), F.col("in_tree_shadow"), F.col("has_shelter"), p))
 
 
-def risk_sensitivity(hourly: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Score and risk of each stop for each shelter factor of the grid.
-
-    An hour's weight depends on the factor only in sheltered sun, so hours are summed by stop
-    once, and the grid is applied to the sums.
-    """
+def factor_sums(p: Params = DEFAULTS) -> list[Column]:
+    """Aggregates from which a stop's score follows for any shelter factor: an hour's weight
+    depends on the factor only in sheltered sun."""
     flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("in_building_shadow", "in_tree_shadow", "has_shelter")]
     sheltered = ~flags[0] & ~flags[1] & flags[2]
-    fixed = S.exposure_weight(*flags, p, factor=F.lit(0.0))
-    sums = hourly.groupBy("osm_node_id").agg(F.sum(fixed).alias("fixed"), F.count_if(sheltered).alias("sheltered"))
-    grid = numbers(sums, "shelter_factor", p.shelter_factor_grid)
-    out = grid.withColumn("exposure_score_hours", S.rounded(F.col("fixed") + F.col("sheltered") * F.col("shelter_factor"), 6))
+    return [F.sum(S.exposure_weight(*flags, p, factor=F.lit(0.0))).alias("fixed"), F.count_if(sheltered).alias("sheltered")]
+
+
+def score_for(factor: Column) -> Column:
+    return S.rounded(F.col("fixed") + F.col("sheltered") * factor, 6)
+
+
+def risk_sensitivity(hourly: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Score and risk of each stop for each shelter factor of the grid, which is applied to the
+    sums of a stop's hours."""
+    grid = numbers(hourly.groupBy("osm_node_id").agg(*factor_sums(p)), "shelter_factor", p.shelter_factor_grid)
+    out = grid.withColumn("exposure_score_hours", score_for(F.col("shelter_factor")))
     return out.select("osm_node_id", "shelter_factor", "exposure_score_hours", S.risk_level("exposure_score_hours").alias("risk_level"))
 
 
-def heat_risk(hourly: DataFrame, sensitivity: DataFrame, trees: DataFrame) -> DataFrame:
+def tiles(rows: DataFrame, n: int, value: Column, tie: str, name: str) -> DataFrame:
+    """The rows with their tile (1 to n) in the order of a value and then ``tie``.
+
+    Rows are numbered within each value, and values are counted: only a row for each value, of which
+    there are few, is ever in one task, and a value's rows are sorted by themselves.
+    """
+    held = rows.withColumn("tile_value", value)
+    counts = held.groupBy("tile_value").agg(F.count(F.lit(1)).alias("tile_rows"))
+    before = Window.orderBy("tile_value").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("tile_value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = counts.select(
+        F.col("tile_value").alias("start_value"), F.coalesce(F.sum("tile_rows").over(before), F.lit(0)).alias("tile_base"), F.sum("tile_rows").over(every).alias("tile_total")
+    )
+    own = F.row_number().over(Window.partitionBy("tile_value").orderBy(tie))
+    held = held.withColumn("tile_place", own).join(starts, F.col("tile_value").eqNullSafe(F.col("start_value")))
+    at = F.col("tile_base") + F.col("tile_place") - 1
+    size, more = F.floor(F.col("tile_total") / n), F.col("tile_total") % n  # the first ``more`` tiles have one more
+    large = more * (size + 1)
+    tile = F.when(at < large, F.floor(at / (size + 1))).otherwise(more + F.floor((at - large) / F.greatest(size, F.lit(1)))) + 1
+    return held.withColumn(name, tile.cast("long")).drop("tile_value", "start_value", "tile_base", "tile_total", "tile_place")
+
+
+def heat_risk(hourly: DataFrame, sensitivity: DataFrame | None, trees: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """A stop's exposure over its hours (see ``scored``), its risk and whether that is stable.
 
-    ``trees`` has osm_node_id and n_trees_20m. Deciles need all stops in order and are made in
-    one task, over one row a stop; ties go by id.
+    ``trees`` has osm_node_id and n_trees_20m. Without ``sensitivity`` stability comes from the same sums
+    that everything else does, in one pass over the hours. Deciles are by score; ties go by id.
     """
     n, exposed = F.count(F.lit(1)), F.count_if("exposed")
     base = hourly.groupBy("osm_node_id").agg(
         n.alias("hours_measured"), F.sum("exposure_score").alias("score"), exposed.alias("hours_exposed_binary"),
-        F.max(F.coalesce("has_shelter", F.lit(False))).alias("has_shelter"), F.count_if("in_tree_shadow").alias("tree_shade_hours"),
+        F.max(F.coalesce("has_shelter", F.lit(False))).alias("has_shelter"), F.count_if("in_tree_shadow").alias("tree_shade_hours"), *factor_sums(p),
     )
-    stable = sensitivity.groupBy("osm_node_id").agg((F.count_distinct("risk_level") == 1).alias("risk_level_stable"))
-    out = base.join(stable, "osm_node_id", "left").join(trees.select("osm_node_id", "n_trees_20m"), "osm_node_id", "left")
-    decile = F.ntile(10).over(Window.orderBy(S.rounded("score", 6), "osm_node_id"))
+    if sensitivity is None:
+        levels = F.array(*[S.risk_level(score_for(F.lit(float(v)))) for v in p.shelter_factor_grid])
+        out = base.withColumn("risk_level_stable", F.size(F.array_distinct(levels)) == 1)
+    else:
+        out = base.join(sensitivity.groupBy("osm_node_id").agg((F.count_distinct("risk_level") == 1).alias("risk_level_stable")), "osm_node_id", "left")
+    out = tiles(out.join(trees.select("osm_node_id", "n_trees_20m"), "osm_node_id", "left"), 10, S.rounded("score", 6), "osm_node_id", "exposure_decile")
     total = F.col("hours_measured").cast("double")
     return out.select(
         "osm_node_id", "hours_measured", S.rounded("score", 3).alias("exposure_score_hours"), S.rounded(F.col("score") / total, 3).alias("pct_exposure_score"),
         "hours_exposed_binary", S.rounded(F.col("hours_exposed_binary").cast("double") / total, 3).alias("pct_hours_exposed_binary"), "has_shelter",
         S.risk_level("score").alias("risk_level"), S.all_some_none(F.col("hours_exposed_binary"), F.col("hours_measured")).alias("risk_level_binary"),
-        decile.cast("long").alias("exposure_decile"), "risk_level_stable", "tree_shade_hours", "n_trees_20m",
+        "exposure_decile", "risk_level_stable", "tree_shade_hours", "n_trees_20m",
     )
 
 

@@ -113,8 +113,10 @@ def waits(departures: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Waiting at each stop and hour, from departures (stop_id, route_id, raw_hour, seconds).
 
     Headways are medians by line, then across lines. The wait for any line weighs gaps by their
-    length: E[H * H] / (2 E[H]).
+    length: E[H * H] / (2 E[H]). Departures are dealt out by stop once, which serves both orders
+    and all groups.
     """
+    departures = departures.repartition("stop_id")
     by_line = gaps(departures, "stop_id", "route_id", p=p).groupBy("stop_id", "route_id", "hour").agg(F.median("gap").alias("headway"))
     lines = by_line.groupBy("stop_id", "hour").agg(F.median("headway").alias("mid"), F.max("headway").alias("long"), F.count(F.lit(1)).alias("n_lines"))
     gap = F.col("gap").cast("double")
