@@ -16,7 +16,7 @@ from meridia.config import DEFAULTS as P
 from meridia.functions import geometry as G
 from meridia.functions import scalar as S
 from meridia.operators import expectations, exposure, payload, schedule, shadow, spatial, weather
-from meridia.sources import readers
+from meridia.sources import readers, shared, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -235,8 +235,10 @@ def departures(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("stop_id"), F.col("event_type").alias("route_id"), F.hour("ts").alias("raw_hour"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).alias("seconds"))
 
 
-WAITS = f"""
-dep AS (SELECT user_id AS stop_id, event_type AS route_id, hour(ts) AS h, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s FROM events),
+def waits_sql(departures: str) -> str:
+    """Waits of departures (stop_id, route_id, h, s)."""
+    return f"""
+dep AS ({departures}),
 g1 AS (SELECT stop_id, route_id, h, lead(s) OVER (PARTITION BY stop_id, route_id ORDER BY s) - s AS gap FROM dep),
 g2 AS (SELECT stop_id, h, lead(s) OVER (PARTITION BY stop_id ORDER BY s) - s AS gap FROM dep),
 line AS (SELECT stop_id, route_id, h, median(gap) AS hw FROM g1 WHERE h BETWEEN 13 AND 19 AND gap > 0 AND gap < 10800 GROUP BY 1, 2, 3),
@@ -249,6 +251,9 @@ waits AS (
 )"""
 
 
+WAITS = waits_sql("SELECT user_id AS stop_id, event_type AS route_id, hour(ts) AS h, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s FROM events")
+
+
 def share_sql(h: str, most: str) -> str:
     return f"(CASE WHEN {h} IS NULL THEN NULL WHEN {h} <= 5 THEN CAST(0 AS DOUBLE) WHEN {h} < 11 THEN {most} * ({h} - 5) / 6 ELSE {most} END)"
 
@@ -509,7 +514,7 @@ def hours_of(spark: SparkSession, d: str) -> DataFrame:
 
 def stop_waits(spark: SparkSession, d: str) -> DataFrame:
     w = schedule.mixed_waits(headways(spark, d))
-    return w.select(F.col("stop_id").cast("string").alias("gtfs_stop_id"), F.concat(F.lit("stop "), F.col("stop_id")).alias("stop_name"), lat_of(F.col("stop_id")).alias("lat"), lon_of(F.col("stop_id")).alias("lon"), *[c for c in w.columns if c != "stop_id"])
+    return w.select(F.col("stop_id").cast("string").alias("gtfs_stop_id"), F.concat(F.lit("stop "), F.col("stop_id")).alias("stop_name"), (lat_of(F.col("stop_id")) + F.lit(2e-7)).alias("lat"), (lon_of(F.col("stop_id")) + F.lit(2e-7)).alias("lon"), *[c for c in w.columns if c != "stop_id"])
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
@@ -639,7 +644,7 @@ def wait_sql(c: str) -> str:
 @query(f"""
 WITH {MIXED},
 full_ AS (SELECT stop_id, CAST(hour AS INTEGER) AS hour FROM (SELECT DISTINCT stop_id FROM mixed), (SELECT unnest(generate_series(13, 19)) AS hour))
-SELECT CAST(f.stop_id AS VARCHAR) AS id, 'stop ' || f.stop_id AS n, round_even({lon_sql('f.stop_id')}, 5) AS lo, round_even({lat_sql('f.stop_id')}, 5) AS la,
+SELECT CAST(f.stop_id AS VARCHAR) AS id, 'stop ' || f.stop_id AS n, round_even({lon_sql('f.stop_id')} + 2e-7, 5) AS lo, round_even({lat_sql('f.stop_id')} + 2e-7, 5) AS la,
        {wait_sql('wait_mixed_minutes')} AS w, {wait_sql('CASE WHEN wait_any_line_minutes IS NOT NULL THEN least(wait_any_line_minutes, wait_mixed_minutes) END')} AS wl,
        {wait_sql('wait_least_frequent_minutes')} AS wh,
        string_agg(CAST(coalesce(n_lines, 0) AS VARCHAR), ',' ORDER BY f.hour) AS nl
@@ -800,9 +805,7 @@ SELECT min(date) AS first_date, max(date) AS last_date, count(*) AS days, first(
 """)
 def hot_windows(spark: SparkSession, d: str) -> DataFrame:
     """Unbroken runs of days that are hotter than the mean."""
-    days = weather.daily_maximum(readings(spark, d))
-    mean = days.agg(F.avg("celsius")).first()[0]
-    return weather.hot_windows(days, mean) if mean is not None else weather.hot_windows(days, float("inf"))
+    return weather.hot_windows(weather.daily_maximum(readings(spark, d)))
 
 
 @query(f"""
@@ -842,3 +845,217 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
         "seven hours": expectations.row_count(m, 7, "hour"),
         "scores agree": expectations.same(again, base, ["osm_node_id"], "v", 1e-6),
     }))
+
+
+# -- a day's service, exposure from end to end
+
+
+DAY_DEPARTURES = """SELECT user_id AS stop_id, event_type AS route_id, (hour(ts) + 24 * (event_id % 2)) % 24 AS h,
+       (hour(ts) + 24 * (event_id % 2)) * 3600 + minute(ts) * 60 + second(ts) AS s FROM events WHERE event_id % 3 IN (0, 1)"""
+
+
+def day_departures(spark: SparkSession, d: str) -> DataFrame:
+    """Departures of the services that run on one date: two of each route's three."""
+    e = table(spark, d, "events")
+    clock = F.concat(F.lpad((F.hour("ts") + 24 * (F.col("event_id") % 2)).cast("string"), 2, "0"), F.date_format("ts", ":mm:ss"))
+    service = F.concat_ws("-", "event_type", (F.col("event_id") % 3).cast("string"))
+    stop_times = e.select(F.col("event_id").alias("trip_id"), F.col("user_id").alias("stop_id"), clock.alias("departure_time"))
+    trips = e.select(F.col("event_id").alias("trip_id"), F.col("event_type").alias("route_id"), service.alias("service_id"))
+    part = F.explode(F.array(*map(F.lit, range(3)))).alias("part")
+    routes = e.select("event_type").distinct().select("event_type", part)
+    compact = F.when(F.col("part") == 1, "20260628").otherwise(F.when(F.col("part") == 0, "20260628").otherwise("20260627"))
+    exceptions = routes.select(F.concat_ws("-", "event_type", "part").alias("service_id"), S.compact_date(compact).alias("date"), F.lit(1).alias("exception_type"))
+    return schedule.active_departures(stop_times, trips, exceptions, F.lit("2026-06-28").cast("date"))
+
+
+@query(f"""
+WITH {waits_sql(DAY_DEPARTURES)},
+place AS (SELECT c_custkey AS stop_id, c_name AS stop_name, {round_sql(lat_sql('c_custkey'), 6)} AS lat, {round_sql(lon_sql('c_custkey'), 6)} AS lon FROM customer WHERE c_custkey % 10 <> 0)
+SELECT waits.*, stop_name, lat, lon FROM waits JOIN place USING (stop_id)
+""")
+def day_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Waits of one date's services by stop and hour, with places; stops that can't be placed drop out."""
+    k = F.col("c_custkey")
+    stops = table(spark, d, "customer").filter(k % 10 != 0).select(k.alias("stop_id"), F.col("c_name").alias("stop_name"), lat_of(k).alias("stop_lat"), lon_of(k).alias("stop_lon"))
+    return schedule.placed_waits(schedule.waits(day_departures(spark, d)), stops)
+
+
+@query(f"""
+WITH {SUN_SQL}, {SPOTS},
+cells AS (SELECT p_partkey % 100 AS r, (p_partkey // 100 * 7) % 100 AS c, p_size AS height FROM part),
+rad AS (SELECT sun.*, ceil(CAST(mx AS DOUBLE) / tan(radians(elevation)) / 10.0) * 10.0 AS radius FROM sun, (SELECT max(height) AS mx FROM cells)),
+ray AS (SELECT id, x, y, hour, azimuth, elevation, CAST(unnest(generate_series(1, CAST(radius / 10 AS INTEGER))) AS DOUBLE) * 10.0 AS d FROM pts, rad),
+bs AS (
+  SELECT DISTINCT id, hour FROM ray JOIN cells
+    ON r = CAST(floor((1000.0 - (y + d * cos(radians(azimuth)))) / 10.0) AS BIGINT) AND c = CAST(floor((x + d * sin(radians(azimuth))) / 10.0) AS BIGINT)
+  WHERE height >= d * tan(radians(elevation))
+),
+tr AS (SELECT CAST((p_partkey * 31) % 997 AS DOUBLE) AS tx, CAST((p_partkey * 17) % 991 AS DOUBLE) AS ty, (CAST(p_partkey % 10 AS DOUBLE) + 1) / 2 AS r,
+              CAST(p_size % 20 + 2 AS DOUBLE) * (1.0::DOUBLE / 3) AS base, CAST(p_size % 20 + 2 AS DOUBLE) AS top FROM part),
+g AS (
+  SELECT id, hour, r, base, top, tan(radians(elevation)) AS slope, (SELECT max(top) FROM tr) / tan(radians(elevation)) AS reach, pow(tx - x, 2) + pow(ty - y, 2) AS far_,
+         (tx - x) * sin(radians(azimuth)) + (ty - y) * cos(radians(azimuth)) AS along, x, y, tx, ty FROM pts, sun, tr
+),
+c AS (SELECT *, sqrt(greatest(r * r - greatest(far_ - pow(along, 2), 0.0), 0.0)) AS half FROM g WHERE far_ - pow(along, 2) <= r * r),
+ts AS (SELECT DISTINCT id, hour FROM c WHERE along + half > 0 AND greatest(along - half, 0.0) <= reach AND greatest(along - half, 0.0) * slope <= top AND (along + half) * slope >= base
+       AND abs(floor(tx / reach) - floor(x / reach)) <= 1 AND abs(floor(ty / reach) - floor(y / reach)) <= 1)
+SELECT pts.id AS stop_id, CAST(sun.hour AS INTEGER) AS hour, azimuth AS solar_azimuth, elevation AS solar_elevation, bs.id IS NOT NULL AS in_building_shadow,
+       bs.id IS NULL AND ts.id IS NOT NULL AS in_tree_shadow, pts.id % 4 = 0 AS has_shelter, bs.id IS NULL AND ts.id IS NULL AND pts.id % 4 <> 0 AS exposed
+FROM pts CROSS JOIN sun LEFT JOIN bs ON bs.id = pts.id AND bs.hour = sun.hour LEFT JOIN ts ON ts.id = pts.id AND ts.hour = sun.hour
+""")
+def hourly_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Each point and hour with its shadows: trees are looked at where no building hides the sun."""
+    k, high = F.col("p_partkey"), (F.col("p_size") % 20 + 2).cast("double")
+    trees = table(spark, d, "part").select(k.alias("tree_id"), ((k * 31) % 997).cast("double").alias("x"), ((k * 17) % 991).cast("double").alias("y"), high.alias("height_m"), ((k % 10).cast("double") + 1).alias("crown_diameter_m"))
+    buildings, points = building_shadow(spark, d), spots(spark, d)
+    shaded = shadow.tree_shadow(points, sun(spark), shadow.tree_cylinders(trees), hidden=buildings)
+    return shadow.hourly_exposure(points.withColumn("has_shelter", F.col("id") % 4 == 0), sun(spark), buildings, shaded)
+
+
+@query("""
+SELECT event_id, CAST(hour(ts) + 24 * (event_id % 2) AS INTEGER) * 3600 + minute(ts) * 60 + second(ts) AS seconds, CAST(ts AS DATE) AS date, ts + INTERVAL 1 HOUR AS summer FROM events
+""")
+def clock_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times of day past 24 hours, compact dates and summer time."""
+    clock = F.concat(F.lpad((F.hour("ts") + 24 * (F.col("event_id") % 2)).cast("string"), 2, "0"), F.date_format("ts", ":mm:ss"))
+    return table(spark, d, "events").select("event_id", S.clock_seconds(clock).cast("long").alias("seconds"), S.compact_date(F.date_format("ts", "yyyyMMdd")).alias("date"), S.solar_to_summer("ts").alias("summer"))
+
+
+@query("""
+WITH o AS (
+  SELECT o_orderkey, nullif(o_orderstatus, 'P') AS a, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'F' ELSE nullif(o_orderstatus, 'P') END AS b,
+         nullif(o_totalprice, (SELECT max(o_totalprice) FROM orders)) AS price FROM orders
+)
+SELECT 'flags differ' AS expectation, count(*) AS violations FROM o WHERE a IS DISTINCT FROM b
+UNION ALL SELECT 'price is in range', count(*) FROM o WHERE price IS NULL OR price NOT BETWEEN 1000 AND 200000
+UNION ALL SELECT 'price is in range or missing', count(*) FROM o WHERE price NOT BETWEEN 1000 AND 200000
+UNION ALL SELECT 'flags agree by key', count(*) FROM o WHERE a IS DISTINCT FROM b
+UNION ALL SELECT 'pairs are 9', CASE WHEN (SELECT count(DISTINCT (coalesce(a, ''), coalesce(b, ''))) FROM o) = 9 THEN 0 ELSE 1 END
+""")
+def null_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules about nulls: a null equals a null and nothing else, and is in no range."""
+    orders = table(spark, d, "orders")
+    a, k = F.nullif("o_orderstatus", F.lit("P")), F.col("o_orderkey")
+    price = F.nullif("o_totalprice", F.col("most"))
+    o = orders.crossJoin(F.broadcast(orders.agg(F.max("o_totalprice").alias("most"))))  # one row
+    o = o.select("o_orderkey", a.alias("a"), F.when(k % 5 == 0, None).when(k % 7 == 0, "F").otherwise(a).alias("b"), price.alias("price"))
+    return expectations.report({
+        "flags differ": expectations.distinct_from(o, "a", "b"),
+        "price is in range": expectations.between(o, "price", 1000, 200000),
+        "price is in range or missing": expectations.between(o, "price", 1000, 200000, nulls=True),
+        "flags agree by key": expectations.same(o.select("o_orderkey", "a"), o.select("o_orderkey", F.col("b").alias("a")), ["o_orderkey"], "a"),
+        "pairs are 9": expectations.row_count(o.select(F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b")), 9, "a", "b"),
+    })
+
+
+# -- files written and read again
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared.folder(spark)}/round-trip/{spark.sparkContext.applicationId}-{name}"
+
+
+@query("""
+SELECT lpad(CAST(event_id AS VARCHAR), 9, '0') AS trip_id, lpad(CAST(user_id AS VARCHAR), 6, '0') AS stop_id, CAST(event_id % 50 AS INTEGER) AS stop_sequence,
+       lpad(CAST(hour(ts) + 24 * (event_id % 2) AS VARCHAR), 2, '0') || strftime(ts, ':%M:%S') AS arrival_time, NULL AS departure_time FROM events
+""")
+def feed_files(spark: SparkSession, d: str) -> DataFrame:
+    """A schedule feed's visits as CSV and back: leading zeros and hours past 23 survive, a column that the file lacks is null."""
+    e = table(spark, d, "events")
+    clock = F.concat(F.lpad((F.hour("ts") + 24 * (F.col("event_id") % 2)).cast("string"), 2, "0"), F.date_format("ts", ":mm:ss"))
+    rows = e.select((F.col("event_id") % 50).alias("stop_sequence"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("trip_id"), clock.alias("arrival_time"), F.lpad(F.col("user_id").cast("string"), 6, "0").alias("stop_id"))
+    at = scratch(spark, "feed")
+    writers.csv(rows, f"{at}/stop_times.txt")
+    return readers.feed_table(spark, at, "stop_times")
+
+
+@query(f"WITH {MIXED} SELECT CAST(stop_id AS VARCHAR) AS stop_id, 'stop ' || stop_id AS stop_name, {round_sql(lat_sql('stop_id') + ' + 2e-7', 5)} AS lat, {round_sql(lon_sql('stop_id') + ' + 2e-7', 5)} AS lon, "
+       "hour, median_wait_minutes, n_lines, median_headway_minutes, wait_any_line_minutes, wait_least_frequent_minutes FROM mixed")
+def wait_seed(spark: SparkSession, d: str) -> DataFrame:
+    """Waits as an ordered, gzipped CSV, read back with its types."""
+    w = stop_waits(spark, d)
+    rows = w.select(F.col("gtfs_stop_id").alias("stop_id"), "stop_name", S.rounded("lat", 5).alias("lat"), S.rounded("lon", 5).alias("lon"), "hour", "median_wait_minutes", "n_lines", "median_headway_minutes", "wait_any_line_minutes", "wait_least_frequent_minutes")
+    at = scratch(spark, "waits.csv.gz")
+    writers.csv(rows, at, compressed=True, order=("stop_id", "hour"))
+    return readers.seed(spark, at, "stop_wait_time")
+
+
+@query(f"""
+WITH {TREES.replace('FROM part WHERE', 'FROM part WHERE p_partkey % 11 <> 0 AND')}
+SELECT CAST(tree_id AS VARCHAR) AS tree_id, genus, species, height_m, crown_diameter_m, round(lon, 6) AS lon, round(lat, 6) AS lat, TRUE AS is_valid FROM tm
+""")
+def census_file(spark: SparkSession, d: str) -> DataFrame:
+    """The census with semicolons, decimal commas and numbers that don't parse; usable trees only."""
+    k = F.col("p_partkey")
+    comma = lambda c: F.replace(c.cast("string"), F.lit("."), F.lit(","))
+    raw = table(spark, d, "part").select(
+        k.cast("string").alias("obj_id"), F.concat(F.lit(" "), "p_brand").alias("genere"), F.concat("p_type", F.lit(" ")).alias("specie"),
+        F.when(k % 11 == 0, "n.d.").otherwise(comma(F.col("p_size").cast("double"))).alias("h_m"), comma((k % 70).cast("double") / 2).alias("diam_chiom"),
+        comma(lon_of(k)).alias("LONG_X_4326"), comma(lat_of(k)).alias("LAT_Y_4326"),
+    )
+    at = scratch(spark, "census.csv")
+    raw.write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(at, header=True, sep=";")
+    return readers.with_validity(readers.tree_census(spark, at)).filter("is_valid")
+
+
+@query(f"""
+SELECT 'node/' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) END AS ref,
+       {lon_sql('s_suppkey')} AS lon, {lat_sql('s_suppkey')} AS lat, s_suppkey % 5 = 0 AS has_shelter FROM supplier
+""")
+def shelter_features(spark: SparkSession, d: str) -> DataFrame:
+    """Stops as one collection of map features, read back with their shelter flag."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 3 != 0, F.col("s_name"))
+    shelter = F.when(k % 5 == 0, "yes").when(k % 5 == 1, "no")
+    properties = F.struct(F.concat(F.lit("node/"), k).alias("@id"), F.when(k % 2 == 0, k.cast("string")).alias("ref"), name.alias("name"), shelter.alias("shelter"))
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(lon_of(k), lat_of(k)).alias("coordinates")).alias("geometry"))
+    at = scratch(spark, "stops.geojson")
+    one = table(spark, d, "supplier").agg(F.collect_list(feature).alias("features"))  # the format is one document
+    one.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.mode("overwrite").text(at)
+    return readers.shelter_stops(readers.features(spark, at))
+
+
+@query("SELECT CAST(p_partkey % 100 AS INTEGER) AS row, CAST((p_partkey // 100 * 7) % 100 AS INTEGER) AS col, CAST(p_size AS INTEGER) AS height FROM part WHERE p_size <> 7")
+def raster_file(spark: SparkSession, d: str) -> DataFrame:
+    """Raster cells without those that have no data."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    at = scratch(spark, "raster")
+    writers.table(table(spark, d, "part").select((k % 100).cast("int").alias("row"), ((F.floor(k / 100) * 7) % 100).cast("int").alias("col"), F.when(size != 7, size).otherwise(65535).alias("height")), at)
+    return readers.raster_cells(spark, at)
+
+
+@query(f"WITH {GRID} SELECT cols.i, k.x, k.y, cols.h, cols.c, genus, species, cols.shades_stop FROM cols JOIN k ON k.i = cols.i")
+def tree_document(spark: SparkSession, d: str) -> DataFrame:
+    """The trees' one JSON document, decoded by its own dictionaries."""
+    trees = map_trees(spark, d)
+    corner = trees.agg(F.min("lon").alias("lon0"), F.min("lat").alias("lat0")).first()
+    at = scratch(spark, "trees.json")
+    writers.document(spark, writers.tree_file(payload.tree_rows(trees), corner.lon0 or 0.0, corner.lat0 or 0.0, payload.SCALE), at)
+    schema = "x array<long>, y array<long>, h array<long>, c array<long>, sp array<int>, species array<array<string>>, genera array<string>, s array<long>"
+    one = spark.read.schema(schema).json(at)
+    rows = one.select("species", "genera", "s", F.posexplode(F.arrays_zip("x", "y", "h", "c", "sp")).alias("i", "t"))
+    kind = F.get("species", F.col("t.sp"))
+    rows = rows.select(
+        F.col("i").cast("long").alias("i"), F.col("t.x").alias("dx"), F.col("t.y").alias("dy"), "t.h", "t.c", F.get("genera", F.get(kind, F.lit(0)).cast("int")).alias("genus"),
+        F.get(kind, F.lit(1)).alias("species"), F.array_contains("s", F.col("i").cast("long")).alias("shades_stop"),
+    )
+    return payload.undelta(rows).join(rows.drop("dx", "dy"), "i")
+
+
+@query(f"""
+WITH {COMBINED}, {TREES},
+b AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM hw)
+SELECT round_even(w, 5) AS west, round_even(s, 5) AS south, round_even(e, 5) AS east, round_even(n, 5) AS north, (SELECT count(DISTINCT osm_node_id) FROM hw) AS stops,
+       (SELECT min(osm_node_id) FROM hw) AS first_stop, (SELECT count(*) FROM tm) AS trees, (SELECT count(*) FILTER (WHERE shades_stop) FROM tm) AS shading,
+       CAST(0.5 AS DOUBLE) AS sync_share_max, CAST(2 AS DOUBLE) AS sync_wait_minutes, 5 AS sync_headway_from, 11 AS sync_headway_full, CAST(0.03 AS DOUBLE) AS tree_transmissivity,
+       CAST(0.5 AS DOUBLE) AS shelter_exposure_factor, CAST(0 AS DOUBLE) AS shelter_factor_min, CAST(1.2 AS DOUBLE) AS shelter_factor_max FROM b
+""")
+def main_document(spark: SparkSession, d: str) -> DataFrame:
+    """The map's one JSON document: stops in order, bounds, parameters, number of trees."""
+    hourly = combined(spark, d)[0]
+    at = scratch(spark, "main.json")
+    writers.document(spark, writers.main_file(payload.main_payload(hourly), payload.bounds(hourly), map_trees(spark, d)), at)
+    params = ", ".join(f"{k}: {'int' if isinstance(v, int) else 'double'}" for k, v in P.quoted().items())
+    one = spark.read.schema(f"bounds array<double>, stops array<struct<id: string>>, params struct<{params}>, trees struct<n: long, shading: long>").json(at)
+    corners = [F.get("bounds", F.lit(i)).alias(c) for i, c in enumerate(("west", "south", "east", "north"))]
+    return one.select(*corners, F.size("stops").cast("long").alias("stops"), F.get("stops", F.lit(0))["id"].alias("first_stop"), F.col("trees.n").alias("trees"), F.col("trees.shading").alias("shading"), "params.*")

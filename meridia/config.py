@@ -38,5 +38,10 @@ class Params:
     def hours(self) -> range:
         return range(self.first_hour, self.last_hour + 1)
 
+    def quoted(self) -> dict[str, float]:
+        """The parameters that a map page quotes in its text."""
+        own = ("sync_share_max", "sync_wait_minutes", "sync_headway_from", "sync_headway_full", "tree_transmissivity", "shelter_exposure_factor")
+        return {k: getattr(self, k) for k in own} | {"shelter_factor_min": min(self.shelter_factor_grid), "shelter_factor_max": max(self.shelter_factor_grid)}
+
 
 DEFAULTS = Params()

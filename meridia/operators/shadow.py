@@ -57,15 +57,20 @@ def tree_cylinders(trees: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return trees.select("tree_id", "x", "y", (F.col("crown_diameter_m") / 2).alias("r"), (F.col("height_m") * F.lit(p.crown_base)).alias("base"), F.col("height_m").alias("top"))
 
 
-def tree_shadow(points: DataFrame, sun: DataFrame, cylinders: DataFrame, tallest: float, hidden: DataFrame | None = None) -> DataFrame:
+def tree_shadow(points: DataFrame, sun: DataFrame, cylinders: DataFrame, tallest: float | None = None, hidden: DataFrame | None = None) -> DataFrame:
     """(id, hour, tree_id): the nearest tree whose crown the ray to the sun crosses, if any.
 
     Hours in which a point is ``hidden`` (id, hour) by a building are left out beforehand.
 
-    The search reaches as far as the tallest tree can throw a shadow, by hour. Trees are found by
+    The search reaches as far as the tallest tree can throw a shadow, by hour; without ``tallest`` that is
+    found first. Trees are found by
     cells as wide as that reach, looked up by their centres in three by three cells.
     """
-    high = sun.filter(F.col("elevation") > 0).select("hour", "azimuth", "elevation", (F.lit(float(tallest)) / F.tan(F.radians("elevation"))).alias("reach"))
+    top = F.lit(0.0 if tallest is None else float(tallest))
+    if tallest is None:
+        sun = sun.crossJoin(F.broadcast(cylinders.agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("tallest"))))  # one row
+        top = F.col("tallest")
+    high = sun.filter(F.col("elevation") > 0).select("hour", "azimuth", "elevation", (top / F.tan(F.radians("elevation"))).alias("reach"))
     rays = points.select("id", "x", "y").crossJoin(F.broadcast(high)).filter(F.col("reach") > 0)  # a row for each hour
     if hidden is not None:
         rays = rays.join(hidden, ["id", "hour"], "left_anti")

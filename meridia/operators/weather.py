@@ -18,9 +18,12 @@ def daily_maximum(readings: DataFrame) -> DataFrame:
     return by_station.groupBy("date").agg(F.avg("top").alias("celsius"))
 
 
-def hot_windows(days: DataFrame, over: float) -> DataFrame:
-    """Unbroken runs of days above a temperature: first and last date, length, hottest day."""
-    hot = days.filter(F.col("celsius") > over)
+def hot_windows(days: DataFrame, over: float | None = None) -> DataFrame:
+    """Unbroken runs of days above a temperature, or else above their mean: first and last date,
+    length, hottest day."""
+    if over is None:
+        days = days.withColumn("over", F.avg("celsius").over(Window.partitionBy()))  # a row a day
+    hot = days.filter(F.col("celsius") > (F.col("over") if over is None else F.lit(over)))
     island = F.date_sub("date", F.row_number().over(Window.orderBy("date")))
     return hot.withColumn("island", island).groupBy("island").agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count(F.lit(1)).alias("days"),

@@ -125,8 +125,15 @@ def test_heat_models(spark, tmp_path):
     assert waits.wl[:2] == [4.1, None] and waits.nl == [2, 1, 0, 0, 0, 0, 0]
     writers.json_lines(payload.main_payload(hourly), str(tmp_path / "main"))
     assert spark.read.json(str(tmp_path / "main")).count() == 2
-    columns = payload.tree_columns(build("mart_trees_map"))
-    assert json.loads(writers.tree_file(columns, 9.19, 45.4601, 1e-5))["s"] == [0]
+    trees = payload.tree_rows(build("mart_trees_map"))
+    text = json.loads(writers.tree_file(trees, 9.19, 45.4601, 1e-5))
+    assert (text["s"], text["species"], text["genera"]) == ([0], [[0, "campestre"]], ["Acer"]) and "partial" not in text
+    text = json.loads(writers.tree_file(trees, 9.19, 45.4601, 1e-5, most_bytes=10))
+    assert text["partial"] and text["total"] == 1
+    text = json.loads(writers.main_file(payload.main_payload(hourly), payload.bounds(hourly), build("mart_trees_map")))
+    assert [s["id"] for s in text["stops"]] == ["1", "2"] and text["bounds"] == [9.19, 45.46, 9.3, 45.46] and text["trees"] == {"n": 1, "shading": 1}
+    writers.csv(payload.main_payload(hourly).select("id"), str(tmp_path / "ordered"), order=("id",))
+    assert [r.id for r in spark.read.csv(str(tmp_path / "ordered"), header=True).collect()] == ["1", "2"]
     for sink, path in ((writers.csv, "csv"), (writers.table, "table")):
         sink(build("mart_trees_map"), str(tmp_path / path))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 1
