@@ -3,10 +3,10 @@
 ``STAGES`` names them in order. Each takes (spark, docs, sf_dir) and returns the next stage's
 documents, with the columns of ``documents``; the last returns the packed pieces. ``run`` writes
 every stage's result as Parquet in the folder that the cluster shares and reads it again, so that
-a lost executor costs at most one stage.
+a lost executor costs at most one stage; a stage's input is deleted once its result is written.
 
-The two deduplicating stages tell rows apart by their texts as well, so that rows without a doc_id
-or with a repeated one stay unless they duplicate another's text.
+The two deduplicating stages name rows by doc_id and text, so that rows without a doc_id or with a
+repeated one stay unless they duplicate another's text.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (shingles of five words, similarity 0.8 or more), the
-    row with the smallest id."""
+    row with the smallest id. SimHash links near copies, each link confirmed by shingles; an exact
+    search finds what lies beyond its radius."""
     return near_sets.one_of_each(docs.select(*COLUMNS))
 
 
@@ -62,6 +63,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -69,4 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

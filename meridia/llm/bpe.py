@@ -8,8 +8,8 @@ a merge makes can take part only in merges of higher rank, so that each rank com
 the result is that of merging each piece by itself.
 
 Pieces repeat, so a worker remembers the ids of the stretches of text it has met (white space
-and what follows it up to the next white space, which no piece spans); when there are too many
-it starts afresh.
+and what follows it up to the next white space, which no piece spans); when there are too many, or
+too many characters of them, it starts afresh.
 
 Defined results: a null text counts as empty, with no tokens; strings of the vocabulary's added
 tokens in a text become those tokens, as in the library; a null doc_id and repeated rows are
@@ -37,9 +37,10 @@ from meridia.llm.common import bounded_batches, documents, larger
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STRETCH = re.compile(f"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Stretches that a worker remembers, and rows whose texts are encoded together.
-KNOWN_STRETCHES = 300_000
-ROWS = 2048
+#: Stretches and characters of them that a worker remembers.
+KNOWN_STRETCHES, KNOWN_CHARS = 300_000, 8_000_000
+#: Rows, and bytes of texts, that are encoded together.
+ROWS, BYTES = 2048, 1 << 23
 
 
 def byte_symbols() -> dict[str, int]:
@@ -202,6 +203,7 @@ class Codec:
         #: By stretch: its ids as numbers joined by commas, how many, and the bytes they stand for.
         self.known: dict[str, tuple[str, int, bytes]] = {}
         self.pieces: dict[str, tuple[str, int, bytes]] = {}
+        self.chars = 0
 
     def entry(self, ids: list[int]) -> tuple[str, int, bytes]:
         return ",".join(map(str, ids)), len(ids), b"".join([self.merges.bytes_of[i] for i in ids])
@@ -218,8 +220,6 @@ class Codec:
     def learn(self, new: set[str]) -> None:
         """Encode stretches that are not known yet, all their pieces by one index."""
         of = {s: self.alphabet.pieces(s) for s in new if s not in self.merges.added}
-        if len(self.pieces) > KNOWN_STRETCHES:
-            self.pieces.clear()
         entries = self.pieces
         pieces = list({p for own in of.values() for p in own if p not in entries})
         if pieces:
@@ -227,6 +227,7 @@ class Codec:
             index.apply()
             for p, ids in zip(pieces, index.ids(), strict=True):
                 entries[p] = self.entry(ids)
+        self.chars += sum(map(len, pieces)) + sum(map(len, new))
         for s, own in of.items():
             if len(own) == 1:
                 self.known[s] = entries[own[0]]
@@ -238,8 +239,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         """By text, the entries of its stretches."""
-        if len(self.known) > KNOWN_STRETCHES:
+        if max(len(self.known), len(self.pieces)) > KNOWN_STRETCHES or self.chars > KNOWN_CHARS:
             self.known.clear()
+            self.pieces.clear()
+            self.chars = 0
         split = [self.stretches(t) for t in texts]
         known = self.known
         new = {s for own in split for s in own if s not in known}
@@ -297,7 +300,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in larger(batches, ROWS):
+        for batch in larger(batches, ROWS, BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts, ids, decoded = [], [], []
             for entries in own.encode(texts):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.sources import shared
+
 #: Rows in an Arrow batch. Texts can be very long, so Spark's default of 10,000 is too many.
 BATCH_ROWS = 256
 #: Rows of a few numbers each up to which a table is broadcast (some 50 MB), by its count.
@@ -23,14 +24,10 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests on one machine, a temporary folder is taken.
-    """
+    """The folder that driver and executors share (see ``shared.folder``), set for checkpoints."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="meridia-checkpoint-"))
+        context.setCheckpointDir(shared.folder(spark))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -54,9 +51,9 @@ def row_names(text: str = "text") -> list[Column]:
     return [F.col("doc_id").cast("long").alias("doc_id"), *(F.xxhash64(F.lit(i), F.col(text).cast("binary")).alias(f"k{i}") for i in (1, 2))]
 
 
-def sized(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
-    """The checkpointed rows, to be broadcast if there are so few."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sized(df: DataFrame) -> DataFrame:
+    """The checkpointed rows, to be broadcast if there are FEW_ROWS at most."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
 def without(docs: DataFrame, judged: DataFrame) -> DataFrame:
@@ -74,15 +71,15 @@ def without(docs: DataFrame, judged: DataFrame) -> DataFrame:
     return out
 
 
-def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at least so many, but for the last; none is empty."""
-    held, n = [], 0
+def larger(batches: Iterator[pa.RecordBatch], rows: int, most_bytes: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many rows or bytes, but for the last; none is empty."""
+    held, n, size = [], 0, 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            n += batch.num_rows
-        if n >= rows:
+            n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= rows or size >= most_bytes:
             yield pa.concat_batches(held)
-            held, n = [], 0
+            held, n, size = [], 0, 0
     if held:
         yield pa.concat_batches(held)

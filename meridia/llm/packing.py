@@ -39,8 +39,8 @@ from meridia.llm.common import bounded_batches, documents, reliable
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker remembers; it starts afresh when there are more.
-KNOWN_WORDS = 400_000
+#: Words, and characters of them, that a worker remembers.
+KNOWN_WORDS, KNOWN_CHARS = 400_000, 8_000_000
 #: White space to Python, but not to the library.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -71,6 +71,7 @@ class Words:
         self.symbols = {byte: symbol for symbol, byte in byte_symbols().items()}
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.chars = 0
 
     def piece(self, piece: str) -> bytes:
         """The ids of a piece, by the library's model on its bytes' stand-ins."""
@@ -99,12 +100,13 @@ class Words:
         for t in texts:
             words = (low := t.lower()).split()
             split.append(None if self.odd(t, low, words) else words)
-        if len(self.known) > KNOWN_WORDS:
+        if max(len(self.known), len(self.pieces)) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
             self.known.clear()
-        if len(self.pieces) > KNOWN_WORDS:
             self.pieces.clear()
+            self.chars = 0
         known, pieces, find = self.known, self.pieces, self.PIECE.findall
         for w in {w for words in split if words for w in words if w not in known}:
+            self.chars += 2 * len(w)
             known[w] = b"".join([pieces[p] if p in pieces else self.piece(p) for p in find(w)])
         return [self.whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
 

@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from meridia.llm import exact_dedup, graph, near_sets, simhash
+from meridia.llm import common, exact_dedup, graph, near_sets, simhash
 
 
 def brute_groups(docs):
@@ -192,6 +192,34 @@ def test_similar_groups_have_all_links(spark):
         assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == brute_similar(rows)
 
 
+def test_similar_groups_of_large_cells(spark, monkeypatch):
+    """The same groups when cells are salted, pass batch by batch, and nothing is broadcast."""
+    for name, value in (("WHOLE_CELL", 3), ("CELL_ROWS", 8), ("LARGE", 4), ("ASKED", 1), ("SEEN", 2)):
+        monkeypatch.setattr(near_sets, name, value)
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    rows = near_copies(2, families=3)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == brute_similar(rows)
+    left = {r.doc_id for r in near_sets.one_of_each(frame.unionByName(frame)).collect()}
+    assert left == set(brute_similar(rows).values())
+
+
+def test_bounds_let_similar_sets_through():
+    """Sizes, places and bitmaps never part sets that are as similar as asked."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, keep = int(rng.integers(1, 3000)), rng.uniform(0.85, 1)
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < keep], rng.integers(0, 1 << 63, int(n * (1 - keep)), np.uint64)]))
+        common_members = len(np.intersect1d(a, b))
+        if not len(b) or common_members < 0.8 * (len(a) + len(b) - common_members):
+            continue
+        p, q = near_sets.parity(a), near_sets.parity(b)
+        longs = min(len(p), len(q))
+        apart = np.bitwise_count(near_sets.folded(p, longs).view(np.uint64) ^ near_sets.folded(q, longs).view(np.uint64)).sum()
+        assert apart <= len(a) + len(b) - 2 * common_members <= (1 - 2 * 0.8 / 1.8) * (len(a) + len(b)) + near_sets.SLACK
+
+
 def test_similar_groups_of_repeated_lines(spark):
     """The shingles are a set: how often a line repeats doesn't part two texts."""
     line = "this very line of nine words repeats and repeats "
