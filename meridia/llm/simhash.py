@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm.common import bounded_batches, documents, larger, reliable
-from meridia.llm.graph import components
+from meridia.llm.graph import components, labels
 
 SEED = 42
 #: Hashes whose bits are counted at once.
@@ -136,22 +136,9 @@ def replicate(threshold: int, pieces: int, homes_only: bool):
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links to links of the same components, one fewer than the nodes of each."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[other], nodes[label[other]]
+    node, root = labels(a, b)
+    other = node != root
+    return node[other], root[other]
 
 
 def compare(threshold: int, codes: list[Cover]):

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from meridia.llm import common, exact_dedup, graph, near_sets, simhash
@@ -43,9 +43,11 @@ def test_filter_has_no_false_negatives():
 edges = st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=30)
 
 
-@settings(max_examples=4, deadline=None)
+@pytest.mark.parametrize("few", [1_000_000, 0])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(edges)
-def test_components(spark, pairs):
+def test_components(spark, monkeypatch, few, pairs):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     parent = {x: x for p in pairs for x in p if p[0] != p[1]}
 
     def find(x):
@@ -197,6 +199,7 @@ def test_similar_groups_of_large_cells(spark, monkeypatch):
     for name, value in (("WHOLE_CELL", 3), ("CELL_ROWS", 8), ("LARGE", 4), ("ASKED", 1), ("SEEN", 2)):
         monkeypatch.setattr(near_sets, name, value)
     monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
     rows = near_copies(2, families=3)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == brute_similar(rows)
