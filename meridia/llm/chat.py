@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,15 @@ MARKS = ("<|turn|>", "<|content|>", "<|end|>")
 CONTROLS = (*MARKS, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<turn>", "</turn>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "### System:", "### User:", "### Assistant:", "<s>", "</s>")
 CONTROL = "(?:" + "|".join(map(regex.escape, CONTROLS)) + ")"
 TO_ESCAPE = regex.compile(rf"(\\*)({CONTROL})")
+#: A control string behind twice its backslashes and one more.
+DOUBLED = r"\1\1\\\2"
 ESCAPED = regex.compile(rf"(\\+)({CONTROL})")
 TURN = "conv_id long, turn long, role string, text string, ids array<int>, role_ids int, text_ids int, loss boolean"
 ASSEMBLED = "conv_id long, position long, start long, ids array<int>, loss_mask array<boolean>"
 
 
 def escape(text: str) -> str:
-    return TO_ESCAPE.sub(r"\1\1\\\2", text)
+    return TO_ESCAPE.sub(DOUBLED, text)
 
 
 def unescape(text: str) -> str:
@@ -206,3 +209,25 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return digests(own.unionByName(probe), vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
+
+
+def in_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: RE2 reads the same pattern; it doesn't know the escapes that only other engines need.
+CONTROL_SQL = in_sql(r"(\\*)(" + "|".join(re.sub(r"([|\[\]()*+?.\\])", r"\\\1", c) for c in CONTROLS) + ")")
+ESCAPED_SQL = f"regexp_replace({{}}, {CONTROL_SQL}, {in_sql(DOUBLED)}, 'g')"
+ORACLE = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, v.turn, v.role, {in_sql(PROBE)} FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+),
+f AS (SELECT *, {sum(map(len, MARKS))} + length({ESCAPED_SQL.format('role')}) + length({ESCAPED_SQL.format('text')}) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, sha256(text)) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.ORACLE,
     "op6_line_rules": line_rules.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

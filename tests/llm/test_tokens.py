@@ -154,6 +154,10 @@ def test_escapes_are_reversible(text):
     assert (role, chat.unescape(said)) == ("user", text)
 
 
+def test_chat_formatting_agrees_with_sql(agree):
+    agree(chat.op2_chat_formatting, chat.ORACLE)
+
+
 def test_chat_digests(spark):
     data = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "a <|end|> b"), (1, 2, "assistant", None), (1, 3, "assistant", "é👍"), (2, 1, "assistant", "later"), (2, 0, None, "first"),
