@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meridia.config import Params
 from meridia.operators import expectations as E
 from meridia.operators import payload
+from meridia.plans import assertions
 from meridia.plans.models import REGISTRY
 from meridia.plans.registry import Build, Registry
 from meridia.sources import readers, writers
@@ -145,3 +146,37 @@ def test_census(spark, tmp_path):
     assert got == [("12", "Acer", "campestre", 7.5, 3.0, 9.123457, 45.765432), ("x", None, None, None, None, None, None)]
     trees = readers.with_validity(readers.tree_census(spark, str(tmp_path / "census.csv")))
     assert trees.filter(F.col("is_valid")).count() == 1
+
+
+def test_transit_assertions(transit):
+    """One trip of the feed has no route that is known; all else holds."""
+    assert {r.expectation: r.violations for r in assertions.report(transit).collect() if r.violations} == {"trips_have_a_route": 1}
+
+
+def heat_build(spark, broken=()):
+    """Twelve stops over seven hours, in order unless something of it is broken."""
+    hours = [(f"node/{i}", h, 180.0, 45.0, i % 5 == h % 5, i % 5 != h % 5 and (i + h) % 4 == 0, i < 5) for i in range(12) for h in range(13, 20)]
+    rows = [(*r, not (r[4] or r[5] or r[6])) for r in hours]
+    if "shadows" in broken:
+        rows[0] = (*rows[0][:4], True, True, *rows[0][6:])
+    if "hours" in broken:
+        rows[1] = rows[0]
+    waits = [(f"S{i}", f"stop {i}", 45.4 + i / 100, 9.1, h, 5.0, 2, 10.0, 4.0 if "order" not in broken else 9.9, 5.0 if "order" not in broken else 1.0) for i in range(12) for h in range(13, 20)]
+    stops = [(f"node/{i}", f"S{i}" if "unmatched" not in broken or i else None, f"stop {i}", None, 9.1 if "unmatched" not in broken or i > 2 else 9.5, 45.4 + i / 100) for i in range(12)]
+    sources = {
+        "stop_solar_exposure": spark.createDataFrame(rows, readers.SEEDS["stop_solar_exposure"]), "stop_tree_shade": spark.createDataFrame([("node/1", 13, "T1")], readers.SEEDS["stop_tree_shade"]),
+        "stop_wait_time": spark.createDataFrame(waits, readers.SEEDS["stop_wait_time"]), "trees": spark.createDataFrame([("T1", "Acer", "campestre", 9.0, 4.0, 9.1, 45.4)], readers.SEEDS["trees"]),
+        "osm_shelter_stops": spark.createDataFrame(stops, "osm_node_id string, ref string, name string, shelter string, lon double, lat double"),
+    }
+    return Build(spark, REGISTRY, sources, Params())
+
+
+@pytest.mark.parametrize(("broken", "found"), [
+    ((), set()), (("shadows",), {"never_both_shadows"}), (("order",), {"wait_bounds_are_in_order"}), (("unmatched",), {"few_stops_are_unmatched"}),
+    (("hours",), {"exposure_has_one_row_a_stop_and_hour", "hourly_has_one_row_a_stop_and_hour"}),
+])
+def test_heat_assertions(spark, broken, found):
+    got = {r.expectation: r.violations for r in assertions.report(heat_build(spark, broken)).collect()}
+    assert len(got) == len(assertions.HEAT) and found <= {k for k, n in got.items() if n}
+    loose = {"every_share_and_level_once"}  # twelve stops don't have every level
+    assert broken or {k for k, n in got.items() if n} <= loose
