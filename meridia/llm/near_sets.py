@@ -54,6 +54,8 @@ ORDER_SHINGLES = 100_000
 ASKED, LARGE = 64, 16_384
 #: Rows of cells that are looked at together, and members up to which each is held against each.
 CELL_ROWS, WHOLE_CELL = 1 << 16, 2048
+#: Members of a cell compared at once.
+COMPARED = 1 << 19
 #: Sets that a task remembers, to send each once.
 SEEN = 1 << 18
 #: For rounding: what a bound on members is lowered by.
@@ -190,7 +192,12 @@ def shared_cells(similarity: float, bitmaps: bool):
 
         def pairable(cell: list[np.ndarray]) -> list[np.ndarray]:
             n, at = cell[2].astype(np.int64), cell[3].astype(np.int64)
-            i, j = np.nonzero(np.triu(may_be_similar(n[:, None], at[:, None], n[None, :], at[None, :], similarity), 1))
+            step, met = max(1, COMPARED // len(n)), []
+            for a in range(0, len(n), step):
+                can = may_be_similar(n[a : a + step, None], at[a : a + step, None], n[None, a + 1 :], at[None, a + 1 :], similarity)
+                x, y = np.nonzero(np.triu(can))  # each with those behind it
+                met.append((x + a, y + a + 1))
+            i, j = (np.concatenate(x) for x in zip(*met, strict=True))
             if bitmaps:
                 apart = np.zeros(len(i), np.int64)
                 for b in cell[5:]:
@@ -340,13 +347,14 @@ def similar_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> tu
         now = cells.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
         if turn:
             hub = F.min_by(F.struct(*now.columns), F.xxhash64(F.lit(turn), "key")).alias("hub")
-            hubs = now.groupBy("h").agg(hub, F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("hub.*")
+            # Behind a checkpoint, as is what is joined below: a join of its own can be split where a cell is large.
+            hubs = reliable(now.groupBy("h").agg(hub, F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("hub.*"))
             met = now.alias("x").join(hubs.alias("y"), (F.col("x.h") == F.col("y.h")) & chance("x", "y", similarity))
         else:
             # The component with most sets of a cell need not be held against itself.
             counts = now.groupBy("h", "root").count()
             most = counts.groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-            now = now.join(most.drop("roots"), "h")
+            now = reliable(now.join(reliable(most.drop("roots")), "h"))
             once = (F.col("y.root") == F.col("y.most")) | (F.col("x.key") < F.col("y.key"))
             met = now.filter("root <> most").alias("x").join(now.alias("y"), (F.col("x.h") == F.col("y.h")) & once & chance("x", "y", similarity))
         pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()

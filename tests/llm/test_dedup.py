@@ -196,7 +196,7 @@ def test_similar_groups_have_all_links(spark):
 
 def test_similar_groups_of_large_cells(spark, monkeypatch):
     """The same groups when cells are salted, pass batch by batch, and nothing is broadcast."""
-    for name, value in (("WHOLE_CELL", 3), ("CELL_ROWS", 8), ("LARGE", 4), ("ASKED", 1), ("SEEN", 2)):
+    for name, value in (("WHOLE_CELL", 3), ("CELL_ROWS", 8), ("LARGE", 4), ("ASKED", 1), ("SEEN", 2), ("COMPARED", 4)):
         monkeypatch.setattr(near_sets, name, value)
     monkeypatch.setattr(common, "FEW_ROWS", 0)
     monkeypatch.setattr(graph, "FEW_EDGES", 0)
