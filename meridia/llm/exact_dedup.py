@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import bounded_batches, documents, parts, reliable, row_names, without
+from meridia.llm.common import bounded_batches, documents, parts, reliable, row_names, sized, without
 
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = np.iinfo(np.int64).max
@@ -271,7 +271,8 @@ def exact_rows(docs: DataFrame, memtable_rows: int = 65_536, filter_bytes: int =
     shared = spark.sparkContext.broadcast(filled.tobytes())
     hits = texts.mapInArrow(hit_texts(shared, digest_bytes), "doc_id long, k1 long, k2 long, chars long, key binary, body binary")
     verified = reliable(hits.groupBy("key").agg((F.min("body") == F.max("body")).alias("same")))
-    stands = index.join(verified.filter("same"), "key").select("key", "keep_id", "group_size")
+    # Rows stay where they are if the hits are few; else a join that can be split deals them out.
+    stands = sized(reliable(index.join(verified.filter("same"), "key").select("key", "keep_id", "group_size")))
     clashing = verified.filter("not same").select("key")
     out = rows.join(stands, "key", "left")
     if not clashing.isEmpty():
