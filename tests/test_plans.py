@@ -1,5 +1,6 @@
 import gzip
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from meridia.operators import payload
 from meridia.plans import assertions
 from meridia.plans.models import REGISTRY
 from meridia.plans.registry import Build, Registry
-from meridia.sources import readers, writers
+from meridia.sources import geotiff, readers, writers
 
 CITY = {
     "agency": "agency_id,agency_name,agency_url,agency_timezone\n01,City,http://c,Europe/Rome\n",
@@ -180,3 +181,72 @@ def test_heat_assertions(spark, broken, found):
     assert len(got) == len(assertions.HEAT) and found <= {k for k, n in got.items() if n}
     loose = {"every_share_and_level_once"}  # twelve stops don't have every level
     assert broken or {k for k, n in got.items() if n} <= loose
+
+
+def tiff(values, order="<", deflated=False, predictor=1, rows_per_strip=2, tile=None, nodata="-1"):
+    """A GeoTIFF of 16-bit numbers, by hand."""
+    import zlib
+
+    import numpy as np
+
+    height, width = values.shape
+    if tile:
+        across, down = tile
+        blocks = [np.pad(b := values[r : r + down, c : c + across], ((0, down - b.shape[0]), (0, across - b.shape[1]))) for r in range(0, height, down) for c in range(0, width, across)]
+    else:
+        blocks = [values[r : r + rows_per_strip] for r in range(0, height, rows_per_strip)]
+    if predictor == 2:
+        blocks = [np.diff(b, axis=1, prepend=0) for b in blocks]
+    raw = [b.astype(f"{order}i2").tobytes() for b in blocks]
+    raw = [zlib.compress(r) for r in raw] if deflated else raw
+    body, at = b"", []
+    for r in raw:
+        at.append(8 + len(body))
+        body += r
+    own = {256: ("H", [width]), 257: ("H", [height]), 258: ("H", [16]), 259: ("H", [8 if deflated else 1]), 277: ("H", [1]), 317: ("H", [predictor]), 339: ("H", [2]), 33550: ("d", [10.0, 20.0, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, 500.0, 900.0, 0.0])}
+    own |= {322: ("H", [tile[0]]), 323: ("H", [tile[1]]), 324: ("I", at), 325: ("I", [len(r) for r in raw])} if tile else {273: ("I", at), 278: ("H", [rows_per_strip]), 279: ("I", [len(r) for r in raw])}
+    own[42113] = ("s", nodata.encode() + b"\0")
+    entries = b""
+    for tag, (code, v) in sorted(own.items()):
+        data = v if code == "s" else struct.pack(f"{order}{len(v)}{code}", *v)
+        kind, n = {"H": 3, "I": 4, "d": 12, "s": 2}[code], len(v)
+        if len(data) > 4:
+            field = struct.pack(f"{order}I", 8 + len(body))
+            body += data
+        else:
+            field = data.ljust(4, b"\0")
+        entries += struct.pack(f"{order}HHI", tag, kind, n) + field
+    head = {"<": b"II", ">": b"MM"}[order] + struct.pack(f"{order}HI", 42, 8 + len(body))
+    return head + body + struct.pack(f"{order}H", len(own)) + entries + b"\0" * 4
+
+
+@pytest.mark.parametrize("how", [{}, {"order": ">"}, {"deflated": True, "predictor": 2}, {"tile": (4, 3), "deflated": True}, {"rows_per_strip": 5}])
+def test_geotiff(spark, tmp_path, how):
+    import numpy as np
+
+    values = np.random.default_rng(4).integers(-1, 60, (5, 7))
+    (tmp_path / "heights.tif").write_bytes(tiff(values, **how))
+    found = {(r.row, r.col): r.height for r in geotiff.cells(spark, str(tmp_path)).collect()}
+    assert found == {(i, j): float(v) for (i, j), v in np.ndenumerate(values) if v != -1}
+    at = geotiff.places(spark, str(tmp_path))
+    assert tuple(at.first())[1:] == (500.0, 900.0, 10.0, 20.0)
+    row, col = geotiff.cell_of(F.lit(525.0), F.lit(835.0), *map(F.col, ("x0", "y0", "dx", "dy")))
+    assert tuple(at.select(row, col).first()) == (3, 2)
+
+
+def test_what_is_no_geotiff(spark, tmp_path):
+    for name, data, said in (("a", b"GIF89a..", "not a TIFF"), ("b", tiff(__import__("numpy").ones((1, 1), int)).replace(b"\x03\x01\x03\x00\x01\x00\x00\x00\x01", b"\x03\x01\x03\x00\x01\x00\x00\x00\x05"), "compression 5")):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match=said):
+            geotiff.cells(spark, str(tmp_path / name)).collect()
+
+
+def test_raw_schemas(spark):
+    for name in ("raw_b", "raw_a", "other"):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+    try:
+        assert [r.schema_name for r in readers.schemas_like(spark, "raw_%").collect()] == ["raw_a", "raw_b"]
+        assert readers.schemas_like(spark, "none_%").count() == 0
+    finally:
+        for name in ("raw_b", "raw_a", "other"):
+            spark.sql(f"DROP DATABASE {name}")
