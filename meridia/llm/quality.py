@@ -18,7 +18,7 @@ bounded sample of labelled rows is ever collected.
 
 Defined results: a null text counts as empty; a null source, language or length is a value of
 its own; without labelled rows of both classes every score is 1 and every document is kept;
-null labels are left out, of repeated ones each counts; a null doc_id is scored like any other;
+null labels are left out, a label that is repeated counts once, and of documents that repeat an id one is learnt from; a null doc_id is scored like any other;
 an empty table gives an empty result; columns other than doc_id, text, lang, source and n_chars
 are ignored by ``score`` and kept by ``accept``.
 """
@@ -206,11 +206,13 @@ def weighed(sums: np.ndarray, model: Model, y: np.ndarray) -> list[Quadratic | N
 def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, train_rows: int = TRAIN_ROWS) -> Model:
     """The model, from about ``train_rows`` labelled rows and all documents' features."""
     spark = features.sparkSession
-    usable = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+    usable = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").distinct()
     n = usable.count()
     if n > train_rows:
         usable = usable.filter(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < (1 << 30) * train_rows // n)
-    rows = features.join(F.broadcast(usable), F.col("id") == F.col("doc_id")).select("id", "y", "view0", "view1").collect()
+    # One row for each id and label, however many documents or labels repeat it.
+    labelled = features.join(F.broadcast(usable), F.col("id") == F.col("doc_id")).groupBy("id", "y").agg(F.min(F.struct("view0", "view1")).alias("views"))
+    rows = labelled.select("id", "y", "views.*").collect()
     rows.sort(key=lambda r: (r.id, r.y, r.view0, r.view1))
     y = np.array([r.y for r in rows])
     if len(np.unique(y)) < 2:

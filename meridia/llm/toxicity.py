@@ -19,8 +19,8 @@ that sample's counts, rows by chosen terms, and nothing else of the corpus. Ever
 is scored.
 
 Defined results: a null or empty text has no words and gets the chain's score for none; without
-labelled rows of both classes every probability is 0; labels that are null or repeated: null
-ones are left out, of repeated ones each counts; a null doc_id is scored like any other; an
+labelled rows of both classes every probability is 0; null labels are left out, a label
+that is repeated counts once, and of documents that repeat an id one is learnt from; a null doc_id is scored like any other; an
 empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -183,12 +183,14 @@ def matrix(chosen: list[str]):
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, chosen: int = CHOSEN) -> Chain:
     """The chain, fitted on about ``train_rows`` labelled rows taken by a hash of doc_id."""
     bounded_batches(docs.sparkSession)
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").distinct()
     n = usable.count()
     if n > train_rows:
         usable = usable.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < (1 << 30) * train_rows // n)
     # The sample has a bounded number of rows, so it is broadcast and the documents stay where they are.
-    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(usable), F.col("id") == F.col("doc_id")).select("toxic", "text")
+    # One row for each id and label, however many documents or labels repeat it.
+    sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(usable), F.col("id") == F.col("doc_id"))
+    sample = sample.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     rows = reliable(sample.repartition(TRAIN_TASKS).mapInArrow(read_words, "toxic int, words array<string>, counts array<int>"))
     total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not (total.get(0) and total.get(1)):
