@@ -1,7 +1,9 @@
 import re
 
+from test_dedup import brute_similar
+
 import corpus_pipeline as pipeline
-from meridia.llm import near_sets, secrets
+from meridia.llm import quality, secrets
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -18,23 +20,35 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
             kept[name] = (before, docs)
     texts = {n: ({r.doc_id: r.text for r in a.collect()}, {r.doc_id: r.text for r in b.collect()}) for n, (a, b) in kept.items()}
-    # Equal texts: one of each stays.
+    # Quality: whoever the classifier scores at half or more.
+    a, b = texts["quality classifier"]
+    scores = quality.score(kept["quality classifier"][0], spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    assert b.keys() == {r.doc_id for r in scores.collect() if r.quality >= 0.5} and all(a[i] == t for i, t in b.items())
+    # Equal texts: of each the longest original stays, then the smallest id.
     a, b = texts["exact dedup"]
-    bodies = lambda t: [re.sub("[\x20\x09-\x0d]", "", x) for x in t.values()]
-    assert sorted(bodies(b)) == sorted(set(bodies(a)))
-    # Near duplicates: whoever left is similar to someone, and no clear duplicates are left.
+    groups = {}
+    for i, t in a.items():
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t), []).append((-len(t), i))
+    assert b.keys() == {min(g)[1] for g in groups.values()}
+    # Near duplicates: of each group, by all links that there are, the smallest id.
     a, b = texts["SimHash near-dedup"]
-    sets = {i: near_sets.shingles(t.encode(), 5) for i, t in a.items()}
-    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
-    for gone in a.keys() - b.keys():
-        assert any(alike(gone, i) for i in a if i != gone)
-    # Secrets: nobody leaves, and nothing is found again.
+    assert b.keys() == set(brute_similar(list(a.items())).values())
+    # Secrets: nobody leaves, values are masked and all else stays.
     a, b = texts["secret scans"]
-    assert a.keys() == b.keys()
+    assert b == {i: secrets.masked(t) for i, t in a.items()}
     assert not any(s.kind != "lexed" for t in b.values() for s in secrets.scan(t))
-    # Packing: every document that is left is packed whole.
-    packed = docs.groupBy("doc_id").agg({"length": "sum"}).count()
-    assert packed == len(b)
+    assert all(r.n_chars == len(r.text) for r in kept["secret scans"][1].collect())
+    # Packing: every document whole, sequences without gaps and within their length.
+    pieces = docs.collect()
+    own, places = {}, {}
+    for r in pieces:
+        own.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert own.keys() == b.keys()
+    for parts in own.values():
+        assert [p[1] for p in sorted(parts)] == [sum(q[2] for q in sorted(parts)[:k]) for k in range(len(parts))]
+    for parts in places.values():
+        assert [p[0] for p in sorted(parts)] == [sum(q[1] for q in sorted(parts)[:k]) for k in range(len(parts))] and sum(p[1] for p in parts) <= 4096
 
 
 def test_odd_documents(spark, odd, no_documents):
