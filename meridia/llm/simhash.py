@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm.common import bounded_batches, documents, larger, reliable
+from meridia.llm.common import bounded_batches, documents, larger, reliable, sized
 from meridia.llm.graph import components, labels
 
 SEED = 42
@@ -247,10 +247,11 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: int = 4, pieces: int
     distinct = reliable(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     edges = links(distinct.select("fp"), threshold, pieces, block)
     found = reliable(components(edges))
-    least = found.join(distinct, found["node"] == distinct["fp"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    # A row for each component, broadcast or behind a checkpoint: a join of its own can be split where one is large.
+    least = reliable(found.join(distinct, found["node"] == distinct["fp"]).groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    linked = found.join(sized(least), "root").select(F.col("node").alias("fp"), "component_id")
     named = reliable(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id")))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(sized(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
