@@ -301,8 +301,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     several with its id, the longest original text, then the smallest hash of it."""
     rows = reliable(exact_rows(docs).filter("group_size > 1"))
     first = F.struct(~F.col("kept"), -F.col("chars"), "k1", "k2").alias("order")
-    best = rows.groupBy("text_sha256").agg(F.min_by(F.struct("doc_id", "k1", "k2"), first).alias("best"))
-    named = rows.groupBy("text_sha256", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")).join(best, "text_sha256")
+    best = reliable(rows.groupBy("text_sha256").agg(F.min_by(F.struct("doc_id", "k1", "k2"), first).alias("best")))
+    named = rows.groupBy("text_sha256", "doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows")).join(sized(best), "text_sha256")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
     return without(docs, named.withColumn("stays", stays).filter("not stays or rows > 1"))
 

@@ -375,8 +375,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5) ->
     Rows without an id are left out, after they have linked others.
     """
     own = reliable(similar_classes(docs, similarity, width))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return own.filter("doc_id IS NOT NULL").join(least, "root").select("doc_id", "component_id").distinct()
+    least = reliable(own.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return own.filter("doc_id IS NOT NULL").join(sized(least), "root").select("doc_id", "component_id").distinct()
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
@@ -385,7 +385,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Dat
     own = reliable(similar_classes(docs, similarity, width))
     row = ("doc_id", "k1", "k2")
     first = F.min_by(F.struct(*row), F.struct(F.col("doc_id").isNull(), *row)).alias("first")
-    kept = own.groupBy("root").agg(first, F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    named = own.join(kept, "root").groupBy("root", *row, "first").agg(F.count(F.lit(1)).alias("rows"))
+    kept = reliable(own.groupBy("root").agg(first, F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"))
+    named = own.join(sized(kept), "root").groupBy("root", *row, "first").agg(F.count(F.lit(1)).alias("rows"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
     return without(docs, named.withColumn("stays", stays).filter("not stays or rows > 1"))
