@@ -39,14 +39,34 @@ from meridia.llm.common import bounded_batches, documents, reliable
 
 CAPACITY = 4096
 END = 1
-#: Words, and characters of them, that a worker remembers.
-KNOWN_WORDS, KNOWN_CHARS = 400_000, 8_000_000
+#: Words, and characters of them, in each of the two generations that a worker remembers.
+KNOWN_WORDS, KNOWN_CHARS = 300_000, 6_000_000
 #: White space to Python, but not to the library.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class Known(dict):
+    """Ids by stretch or piece, made when they are first asked for. When there are too many, a new
+    generation begins; what is asked for again moves there, and the rest goes with the next."""
+
+    def __init__(self, made):
+        self.made, self.old, self.chars = made, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN_WORDS or self.chars >= KNOWN_CHARS:
+            self.old = dict(self)
+            self.clear()
+            self.chars = 0
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.made(word)
+        self.chars += len(word)
+        self[word] = ids
+        return ids
+
+
 class Words:
     """Token ids by a vocabulary that treats each stretch between white space by itself.
 
@@ -69,15 +89,19 @@ class Words:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         self.symbols = {byte: symbol for symbol, byte in byte_symbols().items()}
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chars = 0
+        self.bytes_of = [struct.pack("<I", i) for i in range(1 + max(self.library.get_vocab().values()))]
+        self.known = Known(self.stretch)
+
+    def stretch(self, word: str) -> bytes:
+        """The ids of a stretch by those of its pieces; a stretch of ASCII letters is one piece."""
+        pieces = [word] if word.isascii() and word.isalpha() else self.PIECE.findall(word)
+        return self.piece(word) if len(pieces) == 1 else b"".join([self.known[p] for p in pieces])
 
     def piece(self, piece: str) -> bytes:
-        """The ids of a piece, by the library's model on its bytes' stand-ins."""
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
-        ids = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return ids
+        """The ids of a piece, by the library's model on its bytes' stand-ins (those that print stand for themselves)."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.symbols)
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(piece)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -96,19 +120,11 @@ class Words:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = []
+        find, out = self.known.__getitem__, []
         for t in texts:
             words = (low := t.lower()).split()
-            split.append(None if self.odd(t, low, words) else words)
-        if max(len(self.known), len(self.pieces)) > KNOWN_WORDS or self.chars > KNOWN_CHARS:
-            self.known.clear()
-            self.pieces.clear()
-            self.chars = 0
-        known, pieces, find = self.known, self.pieces, self.PIECE.findall
-        for w in {w for words in split if words for w in words if w not in known}:
-            self.chars += 2 * len(w)
-            known[w] = b"".join([pieces[p] if p in pieces else self.piece(p) for p in find(w)])
-        return [self.whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+            out.append(self.whole(t) if self.odd(t, low, words) else b"".join(map(find, words)))
+        return out
 
 
 _vocabularies: dict[str, Words] = {}
