@@ -8,8 +8,7 @@ a merge makes can take part only in merges of higher rank, so that each rank com
 the result is that of merging each piece by itself.
 
 Pieces repeat, so a worker remembers the ids of the stretches of text it has met (white space
-and what follows it up to the next white space, which no piece spans); when there are too many, or
-too many characters of them, it starts afresh.
+and what follows it up to the next white space, which no piece spans), in two generations of bounded size.
 
 Defined results: a null text counts as empty, with no tokens; strings of the vocabulary's added
 tokens in a text become those tokens, as in the library; a null doc_id and repeated rows are
@@ -19,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -37,8 +37,8 @@ from meridia.llm.common import bounded_batches, documents, larger
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STRETCH = re.compile(f"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Stretches and characters of them that a worker remembers.
-KNOWN_STRETCHES, KNOWN_CHARS = 300_000, 8_000_000
+#: Stretches, or pieces, and characters of them in each of the two generations that a worker remembers.
+KNOWN_STRETCHES, KNOWN_CHARS = 200_000, 4_000_000
 #: Rows, and bytes of texts, that are encoded together.
 ROWS, BYTES = 2048, 1 << 23
 
@@ -193,6 +193,26 @@ class PairIndex:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+class Known(dict):
+    """What a worker remembers by string. When there is too much, a new generation begins; what is
+    asked for again moves there, and the rest goes with the next."""
+
+    def __init__(self):
+        self.old, self.chars = {}, 0
+
+    def unknown(self, strings: set[str]) -> set[str]:
+        """Those that are in neither generation; the others are in this one from now on."""
+        if len(self) > KNOWN_STRETCHES or self.chars > KNOWN_CHARS:
+            self.old = dict(self)
+            self.clear()
+            self.chars = 0
+        new = strings - self.keys()
+        self.chars += sum(map(len, new))
+        back = new & self.old.keys()
+        self.update({s: self.old[s] for s in back})
+        return new - back
+
+
 class Codec:
     """Encodes and decodes, with what a worker remembers."""
 
@@ -201,9 +221,7 @@ class Codec:
         added = sorted(self.merges.added, key=len, reverse=True)
         self.split_added = regex.compile("|".join(map(regex.escape, added))) if added else None
         #: By stretch: its ids as numbers joined by commas, how many, and the bytes they stand for.
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
-        self.chars = 0
+        self.known, self.pieces = Known(), Known()
 
     def entry(self, ids: list[int]) -> tuple[str, int, bytes]:
         return ",".join(map(str, ids)), len(ids), b"".join([self.merges.bytes_of[i] for i in ids])
@@ -221,34 +239,38 @@ class Codec:
         """Encode stretches that are not known yet, all their pieces by one index."""
         of = {s: self.alphabet.pieces(s) for s in new if s not in self.merges.added}
         entries = self.pieces
-        pieces = list({p for own in of.values() for p in own if p not in entries})
+        pieces = sorted(entries.unknown({p for own in of.values() for p in own}))
         if pieces:
             index = PairIndex(self.merges, [p.encode() for p in pieces])
             index.apply()
             for p, ids in zip(pieces, index.ids(), strict=True):
                 entries[p] = self.entry(ids)
-        self.chars += sum(map(len, pieces)) + sum(map(len, new))
         for s, own in of.items():
             if len(own) == 1:
                 self.known[s] = entries[own[0]]
             else:
-                parts = [entries[p] for p in own]
-                self.known[s] = ",".join([x[0] for x in parts]), sum([x[1] for x in parts]), b"".join([x[2] for x in parts])
+                ids, n, back = zip(*[entries[p] for p in own], strict=True)
+                self.known[s] = ",".join(ids), sum(n), b"".join(back)
         for s in new & self.merges.added.keys():
             self.known[s] = self.entry([self.merges.added[s]])
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """By text, the entries of its stretches."""
-        if max(len(self.known), len(self.pieces)) > KNOWN_STRETCHES or self.chars > KNOWN_CHARS:
-            self.known.clear()
-            self.pieces.clear()
-            self.chars = 0
-        split = [self.stretches(t) for t in texts]
-        known = self.known
-        new = {s for own in split for s in own if s not in known}
-        if new:
-            self.learn(new)
-        return [[known[s] for s in own] for own in split]
+        """By text, the entries of its stretches.
+
+        Nothing here has cycles, so the collector needn't look through what is remembered.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            split = [self.stretches(t) for t in texts]
+            known = self.known
+            if new := known.unknown(set().union(*split)):
+                self.learn(new)
+            return [list(map(known.__getitem__, own)) for own in split]
+        finally:
+            if collects:
+                gc.freeze()
+                gc.enable()
 
     def encode_ids(self, text: str) -> list[int]:
         return [int(i) for x in self.encode([text])[0] for i in x[0].split(",")]
@@ -304,10 +326,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts, ids, decoded = [], [], []
             for entries in own.encode(texts):
-                counts.append(sum([x[1] for x in entries]))
-                ids.append(hashlib.sha256(",".join([x[0] for x in entries]).encode()).hexdigest())
-                back = b"".join([x[2] for x in entries]).decode("utf-8", errors="replace")
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                numbers, n, back = zip(*entries, strict=True) if entries else ((), (), ())
+                counts.append(sum(n))
+                ids.append(hashlib.sha256(",".join(numbers).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(back).decode("utf-8", errors="replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
