@@ -71,8 +71,6 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "redacted"
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "private", "api", "access", "signing", "encryption", "salt", "cert", "session", "cookie")
 JOINTS = str.maketrans("", "", "_.-")
 CHAINED_KEY = re.compile(r"\A[A-Za-z_][\w.\-]*+[\x20\t]*+:(?:[\x20\t]|\Z)")
-#: Columns from a line's beginning within which a key can have items below it.
-INDENT_MOST = 1000
 LITERAL_LEAST = 8
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -258,9 +256,11 @@ class Lexer:
     def under(self, key: int, at: int) -> tuple[list[list[Node]], int]:
         """List items or block text below a key, by indentation."""
         text, elements = self.text, []
-        line = text.rfind("\n", 0, key) + 1 if key - self.line < INDENT_MOST else -1
-        self.line = max(self.line, line)
-        indent = SPACES.match(text, line).end() - line if line >= 0 else INDENT_MOST
+        # Keys come from front to back, so that no character is looked at twice for a line's beginning.
+        line = text.rfind("\n", self.read, key) + 1
+        if line or self.indent is None:
+            self.indent = SPACES.match(text, line).end() - line
+        self.read, indent = key, self.indent
         if m := BLOCK.match(text, at):
             at, own = m.end(), []
             while (m := BLOCK_LINE.match(text, at)) and (m.end(1) - m.start(1) > indent or not m[2].strip()):
@@ -285,7 +285,7 @@ class Lexer:
         return elements, end if elements else at
 
     def statements(self) -> Iterator[Statement]:
-        at, self.line = 0, 0
+        at, self.read, self.indent = 0, 0, None
         while m := TARGET.search(self.text, at):
             if m[2]:
                 yield Statement([m[2]], [[Node(m.start(3), m.end(3), True)]])

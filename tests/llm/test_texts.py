@@ -82,6 +82,21 @@ def test_lexed_programs():
         assert {(s.start, s.end) for s in secrets.scan(text) if s.kind == "lexed"} == want, text
 
 
+@pytest.mark.parametrize("before", ["", "plain words\n" * 2000, "  " + "x " * 800, "a:\n" + "words " * 400 + "\n"])
+def test_items_and_blocks_are_read_anywhere(before):
+    text = before + "tokens:\n  - q1w2e3r4t5y6\n  - 'z9x8c7v6b5n4'\n" + "more words\n" * 300 + "secret: |\n   a1s2d3f4g5h6\n"
+    assert [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "lexed"] == ["q1w2e3r4t5y6", "z9x8c7v6b5n4", "a1s2d3f4g5h6"]
+
+
+@pytest.mark.parametrize("text", [" " * 20000 + "token: " * 20000, "token:\n" * 20000])
+def test_lines_are_read_once(text):
+    import time
+
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 2
+
+
 HOSTILE = ["a='", "token=`", 'x = """', "token = /* ", "token: |\n", "tokens:\n - a\n", "token = (", "token = [", "<token>", "a=b=", "token = x +\n", "token: ", " token:\n  -", "token='a' + ", "token = token + 'q1w2e3r4'\n"]
 
 
