@@ -11,9 +11,10 @@ of ``similarity`` or more, and groups are the components of all such links; none
 3. What SimHash does not find is found exactly. Sets A and B as similar as asked share at least
    similarity * |A| members, so that in one order of all shingles the first
    |A| - ceil(similarity * |A|) + 1 of A meet those of B: each shared one is a cell. For TURNS turns the
-   sets of a cell are held against one of them; then all pairs of a cell that still are in
-   different components. A pair goes on only if size, place and bitmap leave it a chance, each a
-   bound that no similar pair fails, and again its shingles decide.
+   sets of a cell are held against one of them; then a set against that of each other component whose
+   bitmap is nearest to its own; then all pairs of a cell that still are in different components.
+   A pair goes on only if size, place and bitmap leave it a chance, each a bound that no similar
+   pair fails, and again its shingles decide.
 
 Sketches are joined as rows by the DataFrame engine, so that no cell, group or hub is ever held by a
 task: cells that many sets share are dealt out by salt, minima are combined before their shuffle,
@@ -47,6 +48,8 @@ THRESHOLD, PIECES, BLOCK = 4, 3, 4096
 BITS, MOST_CLASSES = 8, 1 << 16
 #: Turns in which a cell's sets are held against one of them.
 TURNS = 1
+#: The turns that follow: with the nearest set of each other component, and with all sets of them.
+NEAREST, ALL = 0, -1
 #: Texts whose shingles are counted for an order by frequency, and frequent ones that go to the driver.
 ORDER_ROWS = 5_000
 ORDER_SHINGLES = 100_000
@@ -165,13 +168,17 @@ def may_be_similar(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray,
     return np.minimum(n - at, m - to) >= similarity / (1 + similarity) * (n + m) - SLACK
 
 
+def apart(x: str, y: str) -> Column:
+    """Bits in which the bitmaps of rows x and y of a cell differ."""
+    return sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(BITS)), F.lit(0))
+
+
 def chance(x: str, y: str, similarity: float) -> Column:
     """The same of rows x and y of a cell, and by their bitmaps, unless they are in one component."""
     both = F.col(f"{x}.n") + F.col(f"{y}.n")
     common = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
-    apart = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(BITS)), F.lit(0))
     share = similarity / (1 + similarity)
-    return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (common >= share * both - SLACK) & (apart <= (1 - 2 * share) * both + SLACK)
+    return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (common >= share * both - SLACK) & (apart(x, y) <= (1 - 2 * share) * both + SLACK)
 
 
 ROW, BITMAP = ("h", "key", "n", "at", "salt"), tuple(f"b{i}" for i in range(BITS))
@@ -343,9 +350,9 @@ def similar_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> tu
         return beside(pairs, held, {"members": ("x", "y")}).select("a", "b", "x", "y").mapInArrow(similar(similarity), "a long, b long")
 
     roots = reliable(components(confirmed(fingerprint_pairs(sets))))
-    for turn in (*range(1, TURNS + 1), None):
+    for turn in (*range(1, TURNS + 1), NEAREST, ALL):
         now = cells.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
-        if turn:
+        if turn > 0:
             hub = F.min_by(F.struct(*now.columns), F.xxhash64(F.lit(turn), "key")).alias("hub")
             # Behind a checkpoint, as is what is joined below: a join of its own can be split where a cell is large.
             hubs = reliable(now.groupBy("h").agg(hub, F.min("root").alias("p"), F.max("root").alias("q")).filter("p <> q").select("hub.*"))
@@ -357,7 +364,13 @@ def similar_sets(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> tu
             now = reliable(now.join(reliable(most.drop("roots")), "h"))
             once = (F.col("y.root") == F.col("y.most")) | (F.col("x.key") < F.col("y.key"))
             met = now.filter("root <> most").alias("x").join(now.alias("y"), (F.col("x.h") == F.col("y.h")) & once & chance("x", "y", similarity))
-        pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+        pair = F.struct(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+        if turn == NEAREST:
+            # Most sets that a component of many is similar to are linked to it here, by a pair each.
+            pair = met.select(pair.alias("pair"), F.col("x.key").alias("key"), F.col("y.root").alias("to"), apart("x", "y").alias("apart"))
+            pairs = pair.groupBy("key", "to").agg(F.min_by("pair", F.struct("apart", "pair")).alias("pair")).select("pair.*").distinct()
+        else:
+            pairs = met.select(pair.alias("pair")).select("pair.*").distinct()
         # What was found before is a star for each component.
         roots = reliable(components(confirmed(pairs).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     return rows.select("doc_id", "k1", "k2", "set_key"), roots

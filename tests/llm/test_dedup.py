@@ -242,3 +242,26 @@ def test_similar_groups_behind_one_fingerprint(spark):
     assert len({simhash.fingerprint(t.encode(), 5) for _, t in rows}) == 1
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == {1: 1, 2: 2, 3: 2}
+
+
+def test_pairs_of_a_group_grow_as_the_group(spark, monkeypatch):
+    """Near copies about as similar as asked: those of a component are not all held against a set that one of them links."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        words = [f"w{j}" for j in range(400)]
+        for j in rng.choice(400, rng.integers(3, 8), replace=False):
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    compared, reliable = [], near_sets.reliable
+
+    def counted(df):
+        out = reliable(df)
+        if out.columns == ["a", "b"]:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_sets, "reliable", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(map(tuple, near_sets.similar_groups(frame).collect())) == brute_similar(rows)
+    assert sum(compared) < 75 * len(rows)
