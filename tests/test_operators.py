@@ -147,3 +147,16 @@ def test_hot_windows(spark):
     days = spark.createDataFrame([(dt.date(2026, 6, n), t) for n, t in ((1, 31.0), (2, 33.0), (3, 33.0), (4, 20.0), (6, 32.0))], "date date, celsius double")
     got = sorted(map(tuple, weather.hot_windows(days, 30.0).collect()))
     assert [(a.day, b.day, n, h.day) for a, b, n, h in got] == [(1, 3, 3, 2), (6, 6, 1, 6)]
+
+
+def test_trip_dates_are_not_dealt_out_by_service(spark):
+    trips = spark.range(1000).selectExpr("'A' AS agency_code", "id AS trip_id", "1 AS route_id", "concat('s', id % 2) AS service_id", "'r' AS route_short_name", "3 AS route_type")
+    days = spark.range(6).selectExpr("'A' AS agency_code", "concat('s', id % 2) AS service_id", "date_add(date'2026-01-01', CAST(id AS INT)) AS date").distinct()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables whose size isn't known
+    try:
+        out = schedule.trip_dates(trips, days)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
