@@ -160,3 +160,19 @@ def test_trip_dates_are_not_dealt_out_by_service(spark):
         assert out.count() == 3000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_trip_dates_are_made_by_all_tasks(spark):
+    trips = spark.range(1000).selectExpr("'A' AS agency_code", "id AS trip_id", "1 AS route_id", "concat('s', id % 2) AS service_id", "'r' AS route_short_name", "3 AS route_type")
+    days = spark.range(6).selectExpr("'A' AS agency_code", "concat('s', id % 2) AS service_id", "date_add(date'2026-01-01', CAST(id AS INT)) AS date")
+    out = schedule.trip_dates(trips.coalesce(1), days)
+    found = [n for _, n in rows(out.groupBy(F.spark_partition_id()).count())]
+    assert sum(found) == 3000 and len(found) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(found) <= 1.1 * min(found)
+
+
+def test_trip_dates_keep_repeats_and_nulls(spark):
+    trips = spark.createDataFrame([("A", 1, 1, "s"), ("A", 2, 1, "none"), ("B", 3, 1, "s"), ("A", 4, 1, None)], "agency_code string, trip_id int, route_id int, service_id string")
+    day = dt.date(2026, 1, 1)
+    days = spark.createDataFrame([("A", "s", day), ("A", "s", day), ("A", "s", None), ("A", None, day)], "agency_code string, service_id string, date date")
+    out = schedule.trip_dates(trips.selectExpr("*", "'r' AS route_short_name", "3 AS route_type"), days)
+    assert sorted(map(str, rows(out.select("trip_id", "service_date")))) == sorted(map(str, [(1, day), (1, day), (1, None)]))
